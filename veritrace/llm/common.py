@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_batches(df: DataFrame, rows, ddl: str) -> DataFrame:
+    """mapInArrow with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(rows, ddl)
+
+
 def ascii_lower(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

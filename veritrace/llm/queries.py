@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from . import warc
+from . import packing, simple8b, warc
 
 QUERIES = {
+    "op3_simple8b": simple8b.op3_simple8b,
+    "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
 }
 ORACLE_SQL = {

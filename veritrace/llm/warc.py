@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, staged, table
+from .common import map_batches, scratch, staged, table
 
 CRLF = "\r\n"
 MIN_REVISIT_BYTES = 100
@@ -149,7 +149,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
                     yield pa.RecordBatch.from_pylist(out, schema=RECORDS)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(rows, RECORDS_DDL)
+    return map_batches(files, rows, RECORDS_DDL)
 
 
 def assemble(records: DataFrame) -> DataFrame:
