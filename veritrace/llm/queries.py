@@ -1,13 +1,15 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from . import packing, simhash, simple8b, warc
+from . import mixing, packing, simhash, simple8b, warc
 
 QUERIES = {
     "op3_simple8b": simple8b.op3_simple8b,
+    "op4_mixing": mixing.op4_mixing,
     "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {
+    "op4_mixing": mixing.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
 }
