@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from . import mixing, packing, simhash, simple8b, warc
+from . import fingerprint, mixing, packing, simhash, simple8b, warc
 
 QUERIES = {
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_simple8b": simple8b.op3_simple8b,
     "op4_mixing": mixing.op4_mixing,
     "op6_packing": packing.op6_packing,
