@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from . import fingerprint, mixing, packing, simhash, simple8b, warc
+from . import fingerprint, mixing, packing, simhash, simple8b, topk, warc
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_simple8b": simple8b.op3_simple8b,
     "op4_mixing": mixing.op4_mixing,
@@ -11,6 +12,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {
+    "op1_topk": topk.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
 }
