@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from . import fingerprint, mixing, packing, simhash, simple8b, topk, warc
+from . import fingerprint, mixing, packing, severity, simhash, simple8b, topk, warc
 
 QUERIES = {
+    "op10_severity": severity.op10_severity,
     "op1_topk": topk.op1_topk,
     "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_simple8b": simple8b.op3_simple8b,
