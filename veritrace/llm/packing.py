@@ -151,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 offset[own] = hit[:, 3] + copy * x
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in PACKED.names[:5]), pa.array(sequence), pa.array(offset)], schema=PACKED)
 
-    return map_batches(pieces.join(before.drop("n"), ["part", "length"]).select(*PIECES.names, "before"), rows, PACKED_DDL)
+    return map_batches(pieces.join(before.drop("n").hint("merge"), ["part", "length"]).select(*PIECES.names, "before"), rows, PACKED_DDL)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

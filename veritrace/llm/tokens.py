@@ -4,7 +4,8 @@ Both tokenizers cut a text, before they merge anything, where white space begins
 letters meet white space or a stop, so a text is the concatenation of units whose ids do not depend
 on each other. A unit that is one run of Latin letters goes straight to the library's model, any
 other through the library's whole tokenizer. A bounded table of units already encoded saves encoding
-the frequent ones again; a full table is emptied, which changes speed alone.
+the frequent ones again; a full table is kept, and emptied once it has missed much, which changes
+speed alone.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Units kept, and the characters of the longest unit kept: at most about 120 MB a worker.
-TABLE_UNITS, TABLE_UNIT_CHARS = 500_000, 64
+#: Units kept, and the characters of the longest unit kept: at most about 250 MB a worker.
+TABLE_UNITS, TABLE_UNIT_CHARS = 1_000_000, 64
 #: Characters cut into units at a time.
 SLICE_CHARS = 1 << 20
 #: Unicode white space as the tokenizers' patterns know it.
@@ -53,6 +54,7 @@ class Encoder:
         self.alone = re.compile(f" ?[{LATIN}]+").fullmatch
         self.bytes = dict(enumerate(_letters_of_bytes()))
         self.table: dict[str, bytes] = {}
+        self.missed = 0
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, four bytes each."""
@@ -63,13 +65,16 @@ class Encoder:
         try:
             return b"".join(map(table.__getitem__, units))
         except KeyError:
-            if len(table) > TABLE_UNITS:
-                table.clear()
+            pass
+        if self.missed > 8 * TABLE_UNITS:
+            table.clear()
+            self.missed = 0
         out = []
         for u in units:
             if (made := table.get(u)) is None:
                 made = self._unit(u)
-                if len(u) <= TABLE_UNIT_CHARS:
+                self.missed += 1
+                if len(table) < TABLE_UNITS and len(u) <= TABLE_UNIT_CHARS:
                     table[u] = made
             out.append(made)
         return b"".join(out)
