@@ -66,8 +66,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Rows of one id have one hash. A null source is a source, the last; a source without words has
     target and taken zero. Columns of other names are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
     rows = staged(rows.withColumn("hash", hash_of(F.col("doc_id"))), "sizes")  # the texts are read once
+    return _taken(rows, thresholds(rows, weights, share, most))
+
+
+def words_in(text):
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def thresholds(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """For each source of rows (source, size, hash) its source_size, target, passes, prefix and rest:
+    whole passes, the hash below which rows are taken once more, and the words left for rows at it.
+    """
     budgets = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     # The state of the search, a row a source: the hash bits settled so far, and the words still to take there.
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -92,16 +103,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         moved = moved.withColumn("prefix", F.coalesce("step.at", F.lit(-1).cast("long"))).withColumn("rest", F.when(F.col("step.at").isNotNull(), F.col("step.rest")).otherwise(F.coalesce("step.rest", "rest")))
         before, state = state, staged(moved.select(kept), "thresholds")
         discard(before)
-    return _taken(rows, state)
+    return state
 
 
-def _taken(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Applies the thresholds: state.prefix is now a whole hash."""
+def _taken(rows: DataFrame, state: DataFrame, sizes: DataFrame | None = None, extra: list[str] | None = None) -> DataFrame:
+    """Applies the thresholds; state.prefix is now a whole hash. sizes: the same rows in a narrower table."""
     joined = rows.withColumnRenamed("source", "s").join(state, _same("s", "source"))
-    at = joined.filter(F.col("hash") == F.col("prefix")).groupBy("source").agg(F.sum("size").alias("tied"))
+    small = joined if sizes is None else sizes.withColumnRenamed("source", "s").join(state, _same("s", "source"))
+    at = small.filter(F.col("hash") == F.col("prefix")).groupBy("source").agg(F.sum("size").alias("tied"))
     joined = joined.join(at.withColumnRenamed("source", "ts"), _same("ts", "source"), "left")
     part = F.when(F.col("hash") < F.col("prefix"), F.col("size")).when((F.col("hash") == F.col("prefix")) & (F.col("tied") > 0), F.floor(F.col("size").cast("decimal(20,0)") * F.col("rest") / F.col("tied"))).otherwise(0).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
+    return joined.select(*(extra or ["doc_id"]), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The mix itself: every row of docs as often as the mix takes it, with the columns of docs.
+
+    A row at its source's threshold is cut after the words that the mix takes of it; chars_col, if
+    docs has it, then tells the length of what is left. Cases are those of mix().
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("d"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    keyed = keyed.select("d", "text", "source", words_in(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"))
+    rows = staged(keyed.select("source", "size", "hash"), "sizes")
+    state = thresholds(rows, weights, share, most)
+    taken = _taken(keyed, state, rows, extra=["d", "text"])
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    part = F.col("taken") - whole * F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    out = taken.select("d", "text", F.explode(copies).alias("cut"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("cut").cast("int")), "")
+    out = out.select("d", "cut", F.when(F.col("cut") > 0, cut).otherwise(F.col("text")).alias("text"))
+
+    def column(name: str):
+        own = F.col("d").getField(name)
+        if name == text_col:
+            own = F.when(F.col("cut") > 0, F.col("text")).otherwise(own)
+        elif name == chars_col:
+            own = F.when(F.col("cut") > 0, F.char_length("text").cast(docs.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return out.select(*(column(c) for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

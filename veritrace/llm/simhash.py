@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged, table
+from .common import discard, map_batches, staged, table
 from .components import components
 
 SEED = 42
@@ -66,9 +66,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")), rows, "doc_id bigint, fp bigint")
 
 
-def segments(max_bits: int) -> list[int]:
-    """Masks of the 2 * max_bits + 1 segments, as signed integers."""
-    m = 2 * max_bits + 1
+def segments(max_bits: int, m: int | None = None) -> list[int]:
+    """Masks of m segments, or of 2 * max_bits + 1, as signed integers."""
+    m = m or 2 * max_bits + 1
     cuts = [64 * k // m for k in range(m + 1)]
     return [_signed((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -88,9 +88,9 @@ def index_masks(max_bits: int) -> list[int]:
     return sorted(_signed(sum(own[i] for i in run)) for run in runs)
 
 
-def chain_test(a, b, max_bits: int):
-    """Whether some place on the ring keeps every run of segments from there within its share of max_bits."""
-    own = segments(max_bits)
+def chain_test(a, b, max_bits: int, m: int | None = None):
+    """Whether some place on the ring of m segments keeps every run of them from there within its share of max_bits."""
+    own = segments(max_bits, m)
     m = len(own)
     diff = a.bitwiseXOR(b)
     bits = [F.bit_count(diff.bitwiseAND(F.lit(s))) for s in own]
@@ -156,6 +156,135 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(class_of, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near copies by similarity. Documents whose sets of shingles are 0.8 alike differ in 4 to 14 of 64 bits
+# on our tables, too far apart for any index of fingerprints to be selective. So candidates share a
+# band of minima instead; the chain and Hamming tests prune them, and the sets themselves decide.
+
+BANDS, BAND_ROWS = 24, 5
+#: Bits in which sets that are 0.8 alike do not differ more (mean 10, deviation 3), and segments of the chain test.
+FAR_BITS, FAR_SEGMENTS = 26, 8
+#: Buckets up to this size are paired whole; in larger ones members meet about so many centres.
+PAIRED, CENTRES = 32, 8
+
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def _set_of(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    parts = [np.unique(h) for h in shingle_hashes(text, size)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, digest of the set of shingles, fingerprint, size of the set, keys of its bands of minima)."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py() or b""
+                own = _set_of(raw, shingle)
+                least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+                for a in range(0, len(own), 2048):
+                    np.minimum(least, (own[a : a + 2048, None] * factors).min(axis=0), out=least)
+                keys = [xxhash.xxh64_intdigest(least[k : k + BAND_ROWS].tobytes(), k) for k in range(0, len(least), BAND_ROWS)] if len(own) else []
+                out.append((doc_id, xxhash.xxh128_digest(own.tobytes()), int(np.uint64(fingerprint(raw, shingle)).astype(np.int64)), len(own), np.asarray(keys, np.uint64).view(np.int64).tolist()))
+            columns = zip(*out, strict=True) if out else ([] for _ in SKETCHES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SKETCHES.types, strict=True)], schema=SKETCHES)
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return map_batches(narrow, rows, "doc_id bigint, digest binary, fp bigint, n bigint, bands array<bigint>")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles are at least so alike, by the sets themselves."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).join(wanted, "id")
+    set_schema, pair_schema = pa.schema([("id", pa.int64()), ("own", pa.binary())]), pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_of(x.as_py() or b"", shingle).tobytes() for x in batch.column(1)], pa.binary())], schema=set_schema)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), schema=pair_schema).filter(pa.array(keep, pa.bool_()))
+
+    found = staged(map_batches(texts, sets, "id bigint, own binary"), "sets")
+    paired = pairs.join(found.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    edges = staged(map_batches(paired.select("a", "b", "x", "y"), check, "a bigint, b bigint").distinct(), "alike")
+    discard(found)
+    return edges
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): near copies, a row for each row of docs.
+
+    Sets of shingles link if their Jaccard similarity is at least similarity; texts without words
+    are alike, a shorter text is one shingle. Rows of one id are one document, of the least text
+    that its id names; a null id is alone.
+    """
+    own = staged(sketches(docs, id_col, text_col, shingle).filter("doc_id is not null"), "sketches")
+    distinct = staged(own.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "n", "bands")).alias("s")).select("digest", F.col("s.doc_id").alias("id"), "s.fp", "s.n", "s.bands"), "distinct")
+    member = distinct.select("id", "fp", "n", F.posexplode("bands").alias("band", "key"))
+    size = member.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
+    member = staged(member.join(size, ["band", "key"]), "bands")
+
+    def may(a, b):
+        return (a["n"] >= similarity * b["n"] - 1e-9) & (b["n"] >= similarity * a["n"] - 1e-9) & (hamming(a["fp"], b["fp"]) <= FAR_BITS)
+
+    a, b = F.col("x"), F.col("y")
+    body = F.struct("id", "fp", "n").alias("x")
+    small = member.filter(F.col("size") <= PAIRED).groupBy("band", "key").agg(F.collect_list(body).alias("xs"))  # at most PAIRED each
+    pairs = small.select(F.explode("xs").alias("x"), "xs").select("x", F.explode(F.filter("xs", lambda y: (y["id"] < F.col("x")["id"]) & may(F.col("x"), y))).alias("y"))
+    large = member.filter(F.col("size") > PAIRED)
+    # Members of a large bucket meet a few centres drawn by their hash, and its least member.
+    draw = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(1 << 63))
+    centres = large.filter((draw < CENTRES / F.col("size")) | (F.col("id") == F.col("least"))).select("band", "key", F.struct("id", "fp", "n").alias("y"))
+    met = large.select("band", "key", body).join(centres, ["band", "key"]).filter(a["id"] != b["id"]).filter(may(a, b))
+
+    def ends(found: DataFrame) -> DataFrame:
+        chained = found.filter(chain_test(a["fp"], b["fp"], FAR_BITS, FAR_SEGMENTS))
+        return staged(chained.select(F.greatest(a["id"], b["id"]).alias("a"), F.least(a["id"], b["id"]).alias("b")).distinct(), "candidates")
+
+    edges = _alike(ends(pairs.select("x", "y").union(met.select("x", "y"))), docs, id_col, text_col, shingle, similarity)
+    roots = staged(components(edges), "roots")
+    # What is then not with its bucket's least member meets the whole bucket: so no link is lost but
+    # between members that are in one class already.
+    placed = large.select("band", "key", "least", body).join(roots.select(F.col("node").alias("nx"), F.col("root").alias("rx")), F.col("x.id") == F.col("nx"), "left").join(roots.select(F.col("node").alias("nl"), F.col("root").alias("rl")), F.col("least") == F.col("nl"), "left")
+    placed = staged(placed.select("band", "key", "x", F.coalesce("rx", F.col("x.id")).alias("rx"), F.coalesce("rl", "least").alias("rl")), "placed")
+    left = placed.filter("rx <> rl").select("band", "key", F.col("x").alias("y"), F.col("rx").alias("ry"))
+    again = ends(placed.select("band", "key", "x", "rx").join(left, ["band", "key"]).filter("rx <> ry").filter(may(a, b)).select("x", "y"))
+    if not again.isEmpty():
+        edges = edges.union(_alike(again, docs, id_col, text_col, shingle, similarity))
+        roots = staged(components(edges), "roots")
+    named = distinct.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    return own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without those that have a near copy of smaller id in their class.
+
+    All columns stay. Of rows that repeat an id and text one stays; rows with a null id stay.
+    """
+    found = staged(classes(docs, id_col, text_col, shingle, similarity).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")), "classes")
+    gone = found.filter("least < doc_id").select(F.col("doc_id").alias("__gone"))
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    if found.filter("n > 1 and least >= doc_id").isEmpty():
+        return kept
+    twice = found.filter("n > 1").select(F.col("doc_id").alias("__twice"))
+    again = F.col(id_col).cast("long") == F.col("__twice")
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components that links of at most two bits make."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
