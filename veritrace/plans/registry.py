@@ -1,4 +1,6 @@
 """All queries of the audit engine and their oracle SQL, by name."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import text_queries
+
+QUERIES = dict(text_queries.QUERIES)
+ORACLE_SQL = dict(text_queries.ORACLE_SQL)
