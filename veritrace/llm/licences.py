@@ -5,8 +5,9 @@ A passage is a line of a document, a run of lines between blank ones if it has s
 document if that has several runs. Passages and templates are normalised alike: A-Z to lower case,
 everything but letters and digits to blanks. With a and b distinct bigrams, of which c are common,
 Dice is 2c / (a + b); for it to reach t, a must lie between b * t / (2 - t) and b * (2 - t) / t, which
-rules most templates out by size, and at least t / (2 - t) * b of the template's bigrams must occur,
-so one of any b - need + 1 of them does: the rarest such set of each template is probed first.
+rules most templates out by size, and at least t / (2 - t) * b of the template's bigrams must occur, so
+one of any b - need + 1 of them does. Such a set of each template is probed first: documents without a
+word of these bigrams are done with at once, passages without one of the bigrams before any is counted.
 """
 
 from __future__ import annotations
@@ -61,16 +62,32 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def probes(templates, least: float = LEAST) -> list[str]:
-    """Bigrams of which every passage that reaches least with some template has one: each template's rarest."""
-    df = Counter(b for _, t in templates for b in bigrams_of(t))
+    """Bigrams of which every passage that reaches least with some template has one: of each template
+    as many as that takes, those with the longest words first, as these are the rarest in other texts.
+    """
     out: set[str] = set()
     for _, t in templates:
         own = bigrams_of(t)
         need = ceil(least / (2 - least) * len(own) - 1e-9)
-        out.update(sorted(own, key=lambda b: (df[b], b))[: len(own) - need + 1])
+        out.update(sorted(own, key=lambda b: (-max(map(len, b.split())), b))[: len(own) - need + 1])
     return sorted(out)
 
 
+def looked_for(found: list[str]) -> tuple[list[str], str]:
+    """Beginnings of words and a pattern of which every text with one of the bigrams has one: words of at
+    least four letters that few of them cover all bigrams, and a pattern for bigrams of shorter words.
+    """
+    left = [b for b in found if max(map(len, b.split())) >= 4]
+    short = [r"[^\p{L}\p{N}]+".join(b.split()) for b in found if b not in left]
+    words = []
+    while left:
+        cover = Counter(w[:6] for b in left for w in {x for x in b.split() if len(x) >= 4})
+        best = max(cover, key=lambda w: (cover[w], len(w), w))
+        words.append(best)
+        left = [b for b in left if not any(w.startswith(best) for w in b.split())]
+    return words, "|".join(short)
+
+
 def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, kind, nth, passage): lines, runs of several lines, whole documents of several runs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -91,11 +108,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     bigrams = [bigrams_of(t) for _, t in templates]
     longest = max(map(len, bigrams)) * (2 - least) / least
     normal = F.trim(F.regexp_replace(ascii_lower(F.col("passage")), r"[^\p{L}\p{N}]+", " "))
-    own = passages(docs, id_col, text_col).withColumn("w", F.split(normal, " "))
+    probed = probes(templates, least)
+    low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    words, pattern = looked_for(probed)
+    seen = low.rlike(pattern) if pattern else F.lit(False)
+    for word in words:
+        seen = seen | F.contains(low, F.lit(word))
+    own = passages(docs.filter(seen), id_col, text_col).withColumn("w", F.split(normal, " "))
     # By size first: distinct bigrams are at most the words, so only a long passage can be ruled out yet by them.
     own = own.filter(F.size("w") > 1)
     pairs = F.transform(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b")), lambda x: F.concat(x["a"], F.lit(" "), x["b"]))
-    probe = F.array(*(F.lit(b) for b in probes(templates, least)))
+    probe = F.array(*(F.lit(b) for b in probed))
     own = own.withColumn("g", pairs).filter(F.arrays_overlap("g", probe)).withColumn("g", F.array_distinct("g")).filter(F.size("g") <= longest)
     made = []
     for k, ((licence, _), b) in enumerate(zip(templates, bigrams, strict=True)):
