@@ -108,10 +108,11 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 def _taken(rows: DataFrame, state: DataFrame, sizes: DataFrame | None = None, extra: list[str] | None = None) -> DataFrame:
     """Applies the thresholds; state.prefix is now a whole hash. sizes: the same rows in a narrower table."""
-    joined = rows.withColumnRenamed("source", "s").join(state, _same("s", "source"))
-    small = joined if sizes is None else sizes.withColumnRenamed("source", "s").join(state, _same("s", "source"))
+    small = (rows if sizes is None else sizes).withColumnRenamed("source", "s").join(state, _same("s", "source"))
     at = small.filter(F.col("hash") == F.col("prefix")).groupBy("source").agg(F.sum("size").alias("tied"))
-    joined = joined.join(at.withColumnRenamed("source", "ts"), _same("ts", "source"), "left")
+    # A row a source, written: Spark then knows how small it is, and the texts need not be shuffled to meet it.
+    state = staged(state.join(at.withColumnRenamed("source", "ts"), _same("ts", "source"), "left").drop("ts"), "thresholds")
+    joined = rows.withColumnRenamed("source", "s").join(state, _same("s", "source"))
     part = F.when(F.col("hash") < F.col("prefix"), F.col("size")).when((F.col("hash") == F.col("prefix")) & (F.col("tied") > 0), F.floor(F.col("size").cast("decimal(20,0)") * F.col("rest") / F.col("tied"))).otherwise(0).cast("long")
     return joined.select(*(extra or ["doc_id"]), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
 
