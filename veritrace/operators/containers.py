@@ -405,18 +405,22 @@ def audit_assets(assets: DataFrame, most: int = rules.MAX_BYTES) -> tuple[DataFr
     Contents beyond most bytes are cut, which a note tells; a null content counts as empty.
     """
     content = F.coalesce("content", F.lit(b""))
-    own = with_container(assets.select("target", F.substring(content, 1, most).alias("content"), (F.octet_length(content) > most).alias("cut")))
-    found = records(own)
+    cut_ = assets.select("target", F.substring(content, 1, most).alias("content"), (F.octet_length(content) > most).alias("cut"))
+    # Only ZIP files need Python to be told apart: the branches of all others never start a worker for it.
+    zipped = F.startswith(F.col("content"), F.lit(b"PK\x03\x04"))
+    own = cut_.filter(~zipped).withColumn("container", routing.container(F.col("content")))
+    zips = with_container(cut_.filter(zipped))
+    found = records(own.unionByName(zips))
     found = found.select("target", "nth", F.posexplode(record_findings(F.col("name"), F.col("kind"), F.col("value"), F.col("place"))).alias("k", "f"))
     parts = [found.select("target", (F.col("nth").cast("long") * 100 + F.col("k")).alias("ord"), F.lit("container").alias("layer"), "f.*")]
     textual = own.filter(F.col("container").isin("text", "markdown", "html", "svg")).select("target", "container", routing.decoded(F.col("content")).alias("text"))
     parts.append(markup.parse_html(textual.filter("container = 'html'"), "target", "text").withColumn("layer", F.lit("container")))
     parts.append(markup.parse_markdown(textual.filter("container = 'markdown'"), "target", "text").withColumn("layer", F.lit("container")))
-    pdf = own.filter("container = 'pdf'").select("target", F.decode(F.col("content"), F.lit("ISO-8859-1")).alias("latin"))
+    pdf = own.filter("container = 'pdf'").select("target", F.decode(F.col("content"), "ISO-8859-1").alias("latin"))
     parts.append(explode_findings(pdf, markup.pdf_findings(F.col("latin")), "target").withColumn("layer", F.lit("container")))
     parts.append(text.scan_text(textual).withColumn("layer", F.lit("text")))
     findings = parts[0]
     for p in parts[1:]:
         findings = findings.unionByName(p)
-    said = own.select("target", F.posexplode(F.array_compact(F.array(F.when(F.col("cut"), rules.NOTES["truncated"] % most), F.when(F.col("container") == "unknown-binary", rules.NOTES["unknown"]), F.when(F.col("container").isin("text", "markdown", "html", "svg"), rules.NOTES["statistical"])))).alias("ord", "note"))
+    said = own.unionByName(zips).select("target", F.posexplode(F.array_compact(F.array(F.when(F.col("cut"), rules.NOTES["truncated"] % most), F.when(F.col("container") == "unknown-binary", rules.NOTES["unknown"]), F.when(F.col("container").isin("text", "markdown", "html", "svg"), rules.NOTES["statistical"])))).alias("ord", "note"))
     return findings, said.select("target", F.col("ord").cast("long").alias("ord"), "note")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,8 +170,6 @@ def visible_text(html: Column, entities: bool = True) -> Column:
 
 def unescape_all(df: DataFrame, column: str) -> DataFrame:
     """All of HTML's entities, by Python's table, in Arrow batches; for pages beyond ENTITIES."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def resolved(s: pd.Series) -> pd.Series:
         from html import unescape

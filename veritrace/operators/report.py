@@ -34,10 +34,9 @@ def grouped(findings: DataFrame) -> DataFrame:
 
 
 def ranked(targets: DataFrame, findings: DataFrame) -> DataFrame:
-    """(target, findings, has_high, place): targets with high findings first, then by number of findings, then by name.
+    """(target, findings, has_high): targets with high findings first, then by number of findings, then by name.
 
-    Targets without findings, also skipped ones, count as zero. One task orders the targets that share
-    nothing, so the order is a range-partitioned sort, and the place a running count over its partitions.
+    Targets without findings, also skipped ones, count as zero.
     """
     counts = severity_counts(findings, "target").select("target", F.col("total").alias("findings"), (F.col("high") > 0).alias("has_high"))
     joined = targets.join(counts, "target", "left").select("target", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), F.coalesce("has_high", F.lit(False)).alias("has_high"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +63,6 @@ def sitemap_entries(maps: DataFrame, url: str = "url", body: str = "body") -> Da
 
     Namespaces do not matter; a body that is not well-formed XML has no entries.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<struct<kind:string,loc:string>>")
     def parsed(bodies: pd.Series) -> pd.Series:
         from xml.etree import ElementTree

@@ -1,6 +1,8 @@
 """All queries of the audit engine and their oracle SQL, by name."""
 
-from . import text_queries
+from . import binary_queries, markup_queries, removal_queries, site_queries, text_queries
 
-QUERIES = dict(text_queries.QUERIES)
-ORACLE_SQL = dict(text_queries.ORACLE_SQL)
+QUERIES, ORACLE_SQL = {}, {}
+for _part in (text_queries, markup_queries, site_queries, removal_queries, binary_queries):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
