@@ -59,9 +59,12 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def metadata_value(name: Column, value: Column, location: Column, otherwise: bool = True) -> Column:
-    """The finding that a metadata field gives: AI markers, or informational if it is not blank, or null."""
-    found = markers(value)
+def metadata_value(name: Column, value: Column, location: Column, otherwise: bool = True, found: Column | None = None) -> Column:
+    """The finding that a metadata field gives: AI markers, or informational if it is not blank, or null.
+
+    found: the value's markers, if they are at hand.
+    """
+    found = markers(value) if found is None else found
     evidence = F.concat(name, F.lit("="), cut(value))
     plain = F.when(F.lit(otherwise) & (strip(value) != ""), finding("informational", "confirmed", "generator-meta", location, evidence, None, rules.NOTES["plain"]))
     return F.when(F.size(found) > 0, finding("medium", "confirmed", "ai-metadata", location, evidence, None, marker_note(found))).otherwise(plain)
@@ -70,10 +73,10 @@ def metadata_value(name: Column, value: Column, location: Column, otherwise: boo
 CREATOR_TOOL = r"""xmp:CreatorTool["'>\s]*=?["'>]?\s*([^<"']+)"""
 
 
-def xmp_findings(packet: Column, location: Column) -> Column:
+def xmp_findings(packet: Column, location: Column, found: Column | None = None) -> Column:
     """The findings of an XMP packet: C2PA namespace, creator tool, markers; each may fire."""
     tool = F.regexp_extract(packet, CREATOR_TOOL, 1)
-    found = markers(packet)
+    found = markers(packet) if found is None else found
     return F.array_compact(
         F.array(
             F.when(F.contains(packet, F.lit("c2pa:")) | F.contains(packet, F.lit("ns.adobe.com/c2pa")), finding("medium", "confirmed", "c2pa-manifest", location, "XMP packet names the C2PA namespace", None, rules.NOTES["c2pa xmp"])).otherwise(none()),

@@ -45,11 +45,13 @@ class Reader:
 
 
 def inflated(data: bytes) -> bytes | None:
-    """At most INFLATE_CAP bytes of zlib data, or None if they are malformed."""
+    """At most INFLATE_CAP bytes of zlib data, or None if they are malformed or end too soon."""
+    stream = zlib.decompressobj()
     try:
-        return zlib.decompressobj().decompress(data, INFLATE_CAP)
+        out = stream.decompress(data, INFLATE_CAP)
     except zlib.error:
         return None
+    return out if stream.eof or len(out) == INFLATE_CAP else None
 
 
 def _text(data: bytes) -> str:
@@ -362,9 +364,8 @@ def records(assets: DataFrame, content: str = "content") -> DataFrame:
     return own.select("target", "container", "nth", "r.place", "r.kind", "r.name", "r.value")
 
 
-def record_findings(name: Column, kind: Column, value: Column, place: Column) -> Column:
-    """The findings of one record."""
-    found = markers(value)
+def record_findings(name: Column, kind: Column, value: Column, place: Column, found: Column) -> Column:
+    """The findings of one record; found: its value's markers."""
     low = F.lower(name)
     prompt = low.isin("parameters", "prompt") & (F.size(markers(value, rules.PROMPT_MARKERS)) > 0)
     empty = F.array().cast(markup.fields_type())
@@ -377,23 +378,24 @@ def record_findings(name: Column, kind: Column, value: Column, place: Column) ->
 
     png = (
         F.when(prompt, F.array(finding("medium", "confirmed", "generator-meta", place, F.concat(name, F.lit("="), cut(value, rules.PROMPT_CUT)), None, rules.NOTES["prompt"])))
-        .when(low == "xml:com.adobe.xmp", xmp_findings(value, place))
-        .when(low.isin("software", "comment", "parameters", "prompt", "title", "description", "author"), maybe(metadata_value(name, value, place)))
         .otherwise(empty)
     )
+    # All fields, and all packets, are one case each: a condition is cheaper than an expression more.
+    png_packet = (kind == "png") & ~prompt & (low == "xml:com.adobe.xmp")
+    png_field = (kind == "png") & ~prompt & low.isin("software", "comment", "parameters", "prompt", "title", "description", "author")
+    svg_packet = (kind == "svg metadata") & (F.size(found) == 0) & (F.trim(value) != "")
     whole = F.when(F.size(found) > 0, marked(F.concat(name, F.lit("="), value))).otherwise(finding("informational", "confirmed", "generator-meta", place, F.concat(name, F.lit("="), value), None, rules.NOTES["plain"]))
     page_tags = F.array_compact(F.transform(markup.generators(value), lambda c: metadata_value(F.lit("meta generator"), c, F.concat(place, F.lit(" <meta generator>")))))
     return (
         F.when(kind == "c2pa", F.array(finding("medium", "confirmed", "c2pa-manifest", place, value, None, rules.NOTES["c2pa"])))
+        .when((kind == "xmp") | png_packet | svg_packet, xmp_findings(value, place, found))
+        .when((kind == "field") | png_field, maybe(metadata_value(name, value, place, found=found)))
         .when(kind == "png", png)
-        .when(kind == "xmp", xmp_findings(value, place))
-        .when(kind == "field", maybe(metadata_value(name, value, place)))
         .when(kind == "whole", F.array(whole))
         .when(kind == "application", maybe(F.when(F.size(found) > 0, marked(F.concat(F.lit("application '"), name, F.lit("' has AI markers")))).otherwise(none())))
         .when(kind == "malformed", F.array(finding("informational", "informational", "generator-meta", place, "SVG is malformed", None, rules.NOTES["malformed svg"])))
         .when(kind == "editor", F.array(finding("informational", "confirmed", "generator-meta", place, F.concat(F.lit("namespace attribute "), name), None, rules.NOTES["editor"])))
         .when(kind.isin("svg text", "svg metadata") & (F.size(found) > 0), F.array(marked(F.substring(F.trim(value), 1, rules.VALUE_CUT))))
-        .when((kind == "svg metadata") & (F.trim(value) != ""), xmp_findings(value, F.lit("SVG <metadata>")))
         .when(kind == "page", F.concat(page_tags, markup.jsonld_findings(value, F.concat(place, F.lit(" JSON-LD")))))
         .otherwise(empty)
     )
@@ -411,7 +413,8 @@ def audit_assets(assets: DataFrame, most: int = rules.MAX_BYTES) -> tuple[DataFr
     own = cut_.filter(~zipped).withColumn("container", routing.container(F.col("content")))
     zips = with_container(cut_.filter(zipped))
     found = records(own.unionByName(zips))
-    found = found.select("target", "nth", F.posexplode(record_findings(F.col("name"), F.col("kind"), F.col("value"), F.col("place"))).alias("k", "f"))
+    found = found.withColumn("m", markers(F.col("value")))
+    found = found.select("target", "nth", F.posexplode(record_findings(F.col("name"), F.col("kind"), F.col("value"), F.col("place"), F.col("m"))).alias("k", "f"))
     parts = [found.select("target", (F.col("nth").cast("long") * 100 + F.col("k")).alias("ord"), F.lit("container").alias("layer"), "f.*")]
     textual = own.filter(F.col("container").isin("text", "markdown", "html", "svg")).select("target", "container", routing.decoded(F.col("content")).alias("text"))
     parts.append(markup.parse_html(textual.filter("container = 'html'"), "target", "text").withColumn("layer", F.lit("container")))

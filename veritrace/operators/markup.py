@@ -71,7 +71,7 @@ def parse_html(df: DataFrame, target: str = "target", html: str = "html") -> Dat
 
 
 #: Line ends of Markdown: CRLF, or one of LF CR VT FF FS GS RS NEL LS PS.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 KEY = r"(?i)^(generator|model|ai[-_].*|claude.*|gpt.*|llm.*)$"
 
 
@@ -155,7 +155,7 @@ def fields_type() -> str:
 
 VISIBLE_STEPS = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>")
 #: The entities that plain pages use; all others need unescape_all.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&shy;", "­"), ("&zwnj;", "‌"), ("&zwj;", "‍"), ("&amp;", "&"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&shy;", "\u00ad"), ("&zwnj;", "\u200c"), ("&zwj;", "\u200d"), ("&amp;", "&"))
 
 
 def visible_text(html: Column, entities: bool = True) -> Column:

@@ -116,7 +116,7 @@ def context_snippets(spark, sf_dir):
 
 
 def benchmark_text_findings(spark, sf_dir):
-    df = seeds.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target"), F.concat(F.col("text"), F.lit(" x​")).alias("text"))
+    df = seeds.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target"), F.concat(F.col("text"), F.lit("\u00a0x\u200b")).alias("text"))
     return ops.scan_text(df).select("target", "severity", "location", "evidence")
 
 

@@ -27,15 +27,37 @@ def read_texts(spark: SparkSession, path: str, most: int = rules.MAX_BYTES) -> D
 def read_directory(spark: SparkSession, path: str, most: int = rules.MAX_BYTES, include_hidden: bool = False) -> tuple[DataFrame, DataFrame]:
     """(assets, skipped): all files below a directory. Files over the cap are skipped, not cut, as are dot files and
     folders unless include_hidden; sizes are known from the listing, so skipped files are never read.
+
+    Spark's listing leaves names out that begin with a dot or an underscore: these, a few as a rule, are
+    listed and read by the driver.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    relative = F.replace(F.regexp_replace("path", r"^file:/+", "file:/"), F.lit(root), F.lit(""))
-    own = files.withColumn("target", relative)
-    if not include_hidden:
-        own = own.filter(~F.col("target").rlike(r"(^|/)\.[^/]"))
-    return own.filter(F.col("length") <= most).select("target", "content"), own.filter(F.col("length") > most).select("target", "length")
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = store.makeQualified(base).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    own = files.withColumn("target", F.replace(F.regexp_replace("path", r"^file:/+", "file:/"), F.lit(root), F.lit("")))
+    assets, skipped = own.filter(F.col("length") <= most).select("target", "content"), own.filter(F.col("length") > most).select("target", "length")
+    passed, large = [], []
+    listed = store.listFiles(base, True)
+    while listed.hasNext():
+        status = listed.next()
+        target = status.getPath().toString().removeprefix(root)
+        parts = target.split("/")
+        if not any(p[0] in "._" for p in parts) or (not include_hidden and any(p[0] == "." for p in parts)):
+            continue
+        if status.getLen() > most:
+            large.append((target, status.getLen()))
+            continue
+        stream = store.open(status.getPath())
+        try:
+            passed.append((target, bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        finally:
+            stream.close()
+    if passed:
+        assets = assets.unionByName(spark.createDataFrame(passed, "target string, content binary"))
+    if large:
+        skipped = skipped.unionByName(spark.createDataFrame(large, "target string, length bigint"))
+    return assets, skipped
 
 
 def write_reports(reported: DataFrame, path: str, form: str = "json") -> None:
