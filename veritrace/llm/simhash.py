@@ -165,6 +165,8 @@ BANDS, BAND_ROWS = 24, 5
 FAR_BITS, FAR_SEGMENTS = 26, 8
 #: Minima are also kept by two bits each: sets that are 0.8 alike agree in 102 of 120 (deviation 4), sets half alike in 75.
 AGREED = 82
+#: Bits of the bitmap of ids that tells tasks which sets are asked for (1 MB as sent), and rows of _rest()'s blocks and shards.
+FILTER_BITS, BLOCK, SHARD = 1 << 22, 256, 2048
 #: Buckets up to this size are paired whole; in larger ones members meet about so many centres.
 PAIRED, CENTRES = 32, 8
 
@@ -230,15 +232,81 @@ def _unpacked(raw) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles are at least so alike, by the sets themselves."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).join(wanted, "id")
-    set_schema, pair_schema = pa.schema([("id", pa.int64()), ("own", pa.binary())]), pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, own): the packed sets of the wanted ids, and perhaps of some others.
+
+    The texts are not moved: each task drops the documents whose ids a bitmap of FILTER_BITS bits, the
+    same size for any input, does not have.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = wanted.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 32, np.int64)
+    for r in words.collect():  # at most FILTER_BITS / 32 rows
+        bitmap[r["w"]] = r["bits"]
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    schema = pa.schema([("id", pa.int64()), ("own", pa.binary())])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(_set_of(x.as_py() or b"", shingle)) for x in batch.column(1)], pa.binary())], schema=set_schema)
+            at = batch.column(2).to_numpy()
+            kept = batch.filter(pa.array((sent.value[at >> 5] >> (at & 31)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([_packed(_set_of(x.as_py() or b"", shingle)) for x in kept.column(1)], pa.binary())], schema=schema)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("id is not null")
+    return staged(map_batches(texts.select("id", "text", slot.alias("slot")), rows, "id bigint, own binary"), "sets")
+
+
+def _rest(large: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of members of large buckets that are in another class than their bucket's least member.
+
+    large: (id, least). Buckets that share members make one neighbourhood. Those members, in blocks of
+    about BLOCK, meet all of the neighbourhood, in shards of about SHARD, and each gives one link to
+    any class it reaches in a shard: rows grow with members times blocks, never with pairs.
+    """
+    place = components(large.select(F.col("id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("hood"))
+    root = roots.select(F.col("node").alias("n"), "root")
+    known = large.join(root.toDF("n1", "r1"), F.col("id") == F.col("n1"), "left").join(root.toDF("n2", "r2"), F.col("least") == F.col("n2"), "left")
+    known = known.select("id", F.coalesce("r1", "id").alias("root"), (F.coalesce("r1", "id") != F.coalesce("r2", "least")).alias("out")).groupBy("id").agg(F.min("root").alias("root"), F.max("out").alias("out"))
+    member = staged(known.join(place, "id"), "members")
+    size = member.groupBy("hood").agg(F.count("*").alias("k"), F.count_if("out").alias("l")).filter("l > 0")
+    member = staged(member.join(size, "hood"), "members")
+    own = member.join(_sets(member.select("id"), docs, id_col, text_col, shingle), "id")
+    shards, blocks = F.ceil(F.col("k") / SHARD).cast("int"), F.ceil(F.col("l") / BLOCK).cast("int")
+    shard, block = F.pmod(F.xxhash64("id", F.lit(1)), shards).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), blocks).cast("int")
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(shard.alias("s"), b.alias("b"), F.lit(False).alias("asks")))
+    asked = F.when(F.col("out"), F.transform(F.sequence(F.lit(0), shards - 1), lambda s: F.struct(s.alias("s"), block.alias("b"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<s:int,b:int,asks:boolean>>"))
+    dealt = own.select("hood", "id", "root", "own", F.explode(F.concat(every, asked)).alias("x")).select("hood", "id", "root", "own", "x.s", "x.b", "x.asks")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        asks = rows.column("asks").to_numpy()
+        ids, root_of = rows.column("id").to_numpy(), rows.column("root").to_numpy()
+        sets = [_unpacked(x.as_buffer()) for x in rows.column("own")]
+        mine = np.flatnonzero(asks)
+        sizes = np.asarray([len(sets[i]) for i in mine])
+        a, b = [], []
+        if len(mine):
+            flat, whose = np.concatenate([sets[i] for i in mine]), np.repeat(np.arange(len(mine)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, whose = flat[order], whose[order]
+            best: dict[tuple[int, int], int] = {}
+            for j in np.flatnonzero(~asks).tolist():
+                low, high = np.searchsorted(flat, sets[j], "left"), np.searchsorted(flat, sets[j], "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(whose[at], minlength=len(mine))
+                for k in np.flatnonzero(both >= similarity * (sizes + len(sets[j]) - both) - 1e-9).tolist():
+                    if root_of[mine[k]] != root_of[j]:
+                        key = (int(ids[mine[k]]), int(root_of[j]))
+                        best[key] = min(best.get(key, int(ids[j])), int(ids[j]))
+            a, b = [k[0] for k in best], list(best.values())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return staged(dealt.groupBy("hood", "s", "b").applyInArrow(meet, "a bigint, b bigint").distinct(), "rest")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles are at least so alike, by the sets themselves."""
+    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +317,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), schema=pair_schema).filter(pa.array(keep, pa.bool_()))
 
-    found = staged(map_batches(texts, sets, "id bigint, own binary"), "sets")
+    found = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, id_col, text_col, shingle)
     paired = pairs.join(found.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     edges = staged(map_batches(paired.select("a", "b", "x", "y"), check, "a bigint, b bigint").distinct(), "alike")
     discard(found)
@@ -265,23 +333,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     own = staged(sketches(docs, id_col, text_col, shingle).filter("doc_id is not null"), "sketches")
     distinct = staged(own.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "n", "bands", "minima")).alias("s")).select("digest", F.col("s.doc_id").alias("id"), "s.fp", "s.n", "s.bands", "s.minima"), "distinct")
-    member = distinct.select("id", F.posexplode("bands").alias("band", "key"))
-    size = member.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
+    member = distinct.select("id", F.explode("bands").alias("key"))  # keys of different bands have different seeds
+    size = member.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
     # Few documents share a band with another; only these are followed by what the tests need.
-    member = staged(member.join(size, ["band", "key"]), "bands").join(distinct.select("id", "fp", "n", "minima"), "id")
+    member = staged(member.join(size, "key"), "bands").join(distinct.select("id", "fp", "n", "minima"), "id")
 
     def may(a, b):
         return (a["n"] >= similarity * b["n"] - 1e-9) & (b["n"] >= similarity * a["n"] - 1e-9) & (hamming(a["fp"], b["fp"]) <= FAR_BITS) & (agreeing(a["minima"], b["minima"]) >= AGREED)
 
     a, b = F.col("x"), F.col("y")
     body = F.struct("id", "fp", "n", "minima").alias("x")
-    small = member.filter(F.col("size") <= PAIRED).groupBy("band", "key").agg(F.collect_list(body).alias("xs"))  # at most PAIRED each
+    small = member.filter(F.col("size") <= PAIRED).groupBy("key").agg(F.collect_list(body).alias("xs"))  # at most PAIRED each
     pairs = small.select(F.explode("xs").alias("x"), "xs").select("x", F.explode(F.filter("xs", lambda y: (y["id"] < F.col("x")["id"]) & may(F.col("x"), y))).alias("y"))
     large = member.filter(F.col("size") > PAIRED)
     # Members of a large bucket meet a few centres drawn by their hash, and its least member.
     draw = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(1 << 63))
-    centres = large.filter((draw < CENTRES / F.col("size")) | (F.col("id") == F.col("least"))).select("band", "key", F.struct("id", "fp", "n", "minima").alias("y"))
-    met = large.select("band", "key", body).join(centres, ["band", "key"]).filter(a["id"] != b["id"]).filter(may(a, b))
+    centres = large.filter((draw < CENTRES / F.col("size")) | (F.col("id") == F.col("least"))).select("key", F.struct("id", "fp", "n", "minima").alias("y"))
+    met = large.select("key", body).join(centres, "key").filter(a["id"] != b["id"]).filter(may(a, b))
 
     def ends(found: DataFrame) -> DataFrame:
         chained = found.filter(chain_test(a["fp"], b["fp"], FAR_BITS, FAR_SEGMENTS))
@@ -289,15 +357,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     edges = _alike(ends(pairs.select("x", "y").union(met.select("x", "y"))), docs, id_col, text_col, shingle, similarity)
     roots = staged(components(edges), "roots")
-    # What is then not with its bucket's least member meets the whole bucket: so no link is lost but
-    # between members that are in one class already.
-    placed = large.select("band", "key", "least", body).join(roots.select(F.col("node").alias("nx"), F.col("root").alias("rx")), F.col("x.id") == F.col("nx"), "left").join(roots.select(F.col("node").alias("nl"), F.col("root").alias("rl")), F.col("least") == F.col("nl"), "left")
-    placed = staged(placed.select("band", "key", "x", F.coalesce("rx", F.col("x.id")).alias("rx"), F.coalesce("rl", "least").alias("rl")), "placed")
-    left = placed.filter("rx <> rl").select("band", "key", F.col("x").alias("y"), F.col("rx").alias("ry"))
-    again = ends(placed.select("band", "key", "x", "rx").join(left, ["band", "key"]).filter("rx <> ry").filter(may(a, b)).select("x", "y"))
-    if not again.isEmpty():
-        edges = edges.union(_alike(again, docs, id_col, text_col, shingle, similarity))
-        roots = staged(components(edges), "roots")
+    # What is then not with its bucket's least member meets all members, in blocks: so no link is lost
+    # but between members that are in one class already.
+    edges = edges.union(_rest(staged(large.select("id", "least").distinct(), "large"), roots, docs, id_col, text_col, shingle, similarity))
+    roots = staged(components(edges), "roots")
     named = distinct.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     return own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
