@@ -45,6 +45,12 @@ def markers(value: Column, words=rules.AI_MARKERS) -> Column:
     return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(value), w))
 
 
+def markers_of(value: Column, words=rules.AI_MARKERS) -> Column:
+    """As markers(), for long values at the top of a plan: the value is lowered once, not once a word."""
+    low = F.lower(value)
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words)))
+
+
 def marker_note(found: Column, lead: str = "AI markers: ") -> Column:
     return F.concat(F.lit(lead), F.array_join(found, ", "))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.expr import cut, explode_findings, finding, marker_note, markers, metadata_value, none, xmp_findings
+from ..functions.expr import cut, explode_findings, finding, marker_note, markers, markers_of, metadata_value, none, xmp_findings
 from ..functions.shipping import ship
 from . import markup, routing, text
 
@@ -413,7 +413,7 @@ def audit_assets(assets: DataFrame, most: int = rules.MAX_BYTES) -> tuple[DataFr
     own = cut_.filter(~zipped).withColumn("container", routing.container(F.col("content")))
     zips = with_container(cut_.filter(zipped))
     found = records(own.unionByName(zips))
-    found = found.withColumn("m", markers(F.col("value")))
+    found = found.withColumn("m", markers_of(F.col("value")))
     found = found.select("target", "nth", F.posexplode(record_findings(F.col("name"), F.col("kind"), F.col("value"), F.col("place"), F.col("m"))).alias("k", "f"))
     parts = [found.select("target", (F.col("nth").cast("long") * 100 + F.col("k")).alias("ord"), F.lit("container").alias("layer"), "f.*")]
     textual = own.filter(F.col("container").isin("text", "markdown", "html", "svg")).select("target", "container", routing.decoded(F.col("content")).alias("text"))

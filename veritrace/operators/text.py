@@ -16,9 +16,23 @@ from ..functions.expr import cp_name, inside
 OCCURRENCE = ("severity", "confidence", "category", "note")
 
 
-def _rule(severity: str, confidence: str, category: str, note: str | None = None) -> Column:
-    values = (severity, confidence, category, rules.NOTES[note] if note else "")
-    return F.struct(*(F.lit(v).alias(n) for n, v in zip(OCCURRENCE, values, strict=True)))
+#: What each rule reports: severity, confidence, category, key of its note.
+RULES = {
+    "joiner by emoji": ("informational", "informational", "invisible-unicode", "emoji"),
+    "joiner by script": ("informational", "informational", "invisible-unicode", "script"),
+    "hidden": ("medium", "confirmed", "invisible-unicode", None),
+    "bom": ("medium", "confirmed", "invisible-unicode", "bom"),
+    "soft hyphen": ("low", "confirmed", "invisible-unicode", "soft hyphen"),
+    "bidi": ("high", "confirmed", "bidi-override", "bidi"),
+    "tag": ("high", "confirmed", "invisible-unicode", "tag"),
+    "private": ("high", "confirmed", "invisible-unicode", "private"),
+    "space": ("low", "probable", "homoglyph", "space"),
+}
+
+
+def _number(name: str) -> Column:
+    """A rule as a small number: what it reports is looked up once a hit, not built into every test."""
+    return F.lit(list(RULES).index(name) + 1)
 
 
 def lines_with(df: DataFrame, target: str, text: str, pattern: str) -> DataFrame:
@@ -36,25 +50,29 @@ def occurrences(df: DataFrame, target: str = "target", text: str = "text") -> Da
     chars = lines_with(df, target, text, rules.SIGNALS).select("target", "line", "s", F.split("s", "").alias("cs"))
     chars = chars.select("target", "line", "s", "cs", F.posexplode("cs").alias("at", "c")).withColumn("cp", F.ascii("c"))
     cp = F.col("cp")
+    signal = (*rules.ZERO_WIDTH_SPACE, *rules.JOINERS, *rules.BOM, *rules.SOFT_HYPHEN, *rules.FORMAT_CONTROLS, *rules.BIDI_CONTROLS, *rules.TAGS, *rules.PRIVATE_USE, *rules.SPACES)
+    chars = chars.filter((cp >= min(a for a, _ in signal)) & inside(cp, signal))
     beside = [F.ascii(F.coalesce(F.get("cs", F.col("at") + d), F.lit(""))) for d in (-1, 1)]
+    chars = chars.select("target", "line", "s", "at", "cp", *(F.when(inside(cp, rules.JOINERS), x).alias(n) for x, n in zip(beside, ("p", "q"), strict=True)))
 
     def near(ranges) -> Column:
-        return inside(beside[0], ranges) | inside(beside[1], ranges)
+        return inside(F.col("p"), ranges) | inside(F.col("q"), ranges)
 
-    joiner = F.when(near((*rules.EMOJI_CONTEXT,)), _rule("informational", "informational", "invisible-unicode", "emoji")).when(near(rules.SHAPED_SCRIPTS), _rule("informational", "informational", "invisible-unicode", "script")).otherwise(_rule("medium", "confirmed", "invisible-unicode"))
     start = (F.col("line") == 1) & (F.col("at") == 0)
     rule = (
-        F.when(inside(cp, rules.JOINERS), joiner)
-        .when(inside(cp, rules.ZERO_WIDTH_SPACE) | inside(cp, rules.FORMAT_CONTROLS), _rule("medium", "confirmed", "invisible-unicode"))
-        .when(inside(cp, rules.BOM) & ~start, _rule("medium", "confirmed", "invisible-unicode", "bom"))
-        .when(inside(cp, rules.SOFT_HYPHEN), _rule("low", "confirmed", "invisible-unicode", "soft hyphen"))
-        .when(inside(cp, rules.BIDI_CONTROLS), _rule("high", "confirmed", "bidi-override", "bidi"))
-        .when(inside(cp, rules.TAGS), _rule("high", "confirmed", "invisible-unicode", "tag"))
-        .when(inside(cp, rules.PRIVATE_USE), _rule("high", "confirmed", "invisible-unicode", "private"))
-        .when(inside(cp, rules.SPACES), _rule("low", "probable", "homoglyph", "space"))
+        F.when(inside(cp, rules.JOINERS), F.when(near(rules.EMOJI_CONTEXT), _number("joiner by emoji")).when(near(rules.SHAPED_SCRIPTS), _number("joiner by script")).otherwise(_number("hidden")))
+        .when(inside(cp, rules.BOM), F.when(~start, _number("bom")))
+        .when(inside(cp, rules.SOFT_HYPHEN), _number("soft hyphen"))
+        .when(inside(cp, rules.BIDI_CONTROLS), _number("bidi"))
+        .when(inside(cp, rules.TAGS), _number("tag"))
+        .when(inside(cp, rules.PRIVATE_USE), _number("private"))
+        .when(inside(cp, rules.SPACES), _number("space"))
+        .otherwise(_number("hidden"))
     )
-    hits = chars.select("target", "line", (F.col("at") + 1).alias("col"), "cp", "s", rule.alias("r")).filter("r is not null")
-    return hits.select("target", "line", "col", "cp", "s", *(F.col(f"r.{c}").alias(c) for c in OCCURRENCE))
+    hits = chars.select("target", "line", (F.col("at") + 1).alias("col"), "cp", "s", rule.alias("rule")).filter("rule is not null")
+    columns = zip(*((*v[:3], rules.NOTES[v[3]] if v[3] else "") for v in RULES.values()), strict=True)
+    told = [F.element_at(F.array(*(F.lit(x) for x in column)), F.col("rule")).alias(name) for name, column in zip(OCCURRENCE, columns, strict=True)]
+    return hits.select("target", "line", "col", "cp", "s", *told)
 
 
 def code_point_name(cp: Column) -> Column:

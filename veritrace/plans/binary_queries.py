@@ -24,7 +24,7 @@ def assets(spark, sf_dir):
         return pd.Series([samples.ONE_FIELD[KINDS[int(i)]](x) for i, x in zip(k, value, strict=True)])
 
     rows = seeds.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target"), F.pmod("doc_id", F.lit(len(KINDS))).alias("k"), v.alias("v"))
-    return rows.select("target", made("k", "v").alias("content"))
+    return rows.select("target", made("k", "v").alias("content")).persist()  # made once, though several branches read it
 
 
 def asset_containers(spark, sf_dir):
@@ -49,7 +49,7 @@ def container_records(spark, sf_dir):
 def stripped_assets(spark, sf_dir):
     """What a new audit finds in stripped assets, by container: in a TIFF file a zeroed pointer leads to the file's first bytes."""
     own = containers.with_container(assets(spark, sf_dir)).filter(F.col("container").isin(*strip.STRIPPERS))
-    done = strip.strip_assets(own, confirm=True)
+    done = strip.strip_assets(own, confirm=True).persist()
     left, _ = containers.audit_assets(done.select("target", "content"))
     kept = left.filter("location <> 'docProps/app.xml'").groupBy("target").agg(F.count("*").alias("left"))
     return done.select("target", "container", "status", F.size("dropped").cast("long").alias("dropped")).join(kept, "target", "left").select("target", "container", "status", "dropped", F.coalesce("left", F.lit(0)).cast("long").alias("left"))
