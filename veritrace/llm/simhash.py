@@ -164,11 +164,11 @@ BANDS, BAND_ROWS = 24, 5
 #: Bits in which sets that are 0.8 alike do not differ more (mean 10, deviation 3), and segments of the chain test.
 FAR_BITS, FAR_SEGMENTS = 26, 8
 #: Minima are also kept by two bits each: sets that are 0.8 alike agree in 102 of 120 (deviation 4), sets half alike in 75.
-AGREED = 82
+AGREED = 87
 #: Bits of the bitmap of ids that tells tasks which sets are asked for (1 MB as sent), and rows of _rest()'s blocks and shards.
-FILTER_BITS, BLOCK, SHARD = 1 << 22, 256, 2048
+FILTER_BITS, BLOCK, SHARD = 1 << 22, 512, 1024
 #: Buckets up to this size are paired whole; in larger ones members meet about so many centres.
-PAIRED, CENTRES = 32, 8
+PAIRED, CENTRES = 32, 4
 
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("minima", pa.list_(pa.int64()))])
 
@@ -270,7 +270,8 @@ def _rest(large: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text
     member = staged(known.join(place, "id"), "members")
     size = member.groupBy("hood").agg(F.count("*").alias("k"), F.count_if("out").alias("l")).filter("l > 0")
     member = staged(member.join(size, "hood"), "members")
-    own = member.join(_sets(member.select("id"), docs, id_col, text_col, shingle), "id")
+    found = _sets(member.select("id"), docs, id_col, text_col, shingle)
+    own = member.join(found, "id")
     shards, blocks = F.ceil(F.col("k") / SHARD).cast("int"), F.ceil(F.col("l") / BLOCK).cast("int")
     shard, block = F.pmod(F.xxhash64("id", F.lit(1)), shards).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), blocks).cast("int")
     every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(shard.alias("s"), b.alias("b"), F.lit(False).alias("asks")))
@@ -301,7 +302,9 @@ def _rest(large: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text
             a, b = [k[0] for k in best], list(best.values())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return staged(dealt.groupBy("hood", "s", "b").applyInArrow(meet, "a bigint, b bigint").distinct(), "rest")
+    rest = staged(dealt.groupBy("hood", "s", "b").applyInArrow(meet, "a bigint, b bigint").distinct(), "rest")
+    discard(found)
+    return rest
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
