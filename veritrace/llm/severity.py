@@ -180,18 +180,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 out.append({"row": row, "toxic": label, "words": sum(own.values()), "at": [place[f] for f in got], "n": [float(k) for k in got.values()]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("toxic", pa.int64()), ("words", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float64()))]))
 
-    got = sorted(map_batches(sample, rows, "row bigint, toxic bigint, words bigint, at array<int>, n array<double>").collect(), key=lambda r: r["row"])  # the bounded sample
-    at = np.repeat(np.arange(len(got)), [len(r["at"]) for r in got])
-    cols = np.asarray([c for r in got for c in r["at"]], np.int64)
-    values = np.asarray([c for r in got for c in r["n"]], np.float64)
-    toxic = np.asarray([r["toxic"] > 0 for r in got])
-    words = np.asarray([r["words"] for r in got], np.float64)
+    # The bounded sample, as columns.
+    got = map_batches(sample, rows, "row bigint, toxic bigint, words bigint, at array<int>, n array<double>").toArrow().sort_by("row")
+    lists = got.column("at").combine_chunks()
+    at = np.repeat(np.arange(got.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    cols = lists.flatten().to_numpy().astype(np.int64)
+    values = got.column("n").combine_chunks().flatten().to_numpy()
+    toxic = got.column("toxic").to_numpy() > 0
+    words = got.column("words").to_numpy().astype(np.float64)
     x = value(values, words[at])
     g = np.asarray([x for _, x in evidence])
     penalty = PENALTY * g.max() / g  # the less evidence, the dearer
     w, t = fit_ordinal(at, cols, x, toxic.astype(int), penalty)
     # Grades of toxic rows: by the share of words that the yes/no model marks.
-    marked = np.bincount(at, values * (w[cols] > 0), minlength=len(got)) / np.maximum(1, words)
+    marked = np.bincount(at, values * (w[cols] > 0), minlength=got.num_rows) / np.maximum(1, words)
     grade = toxic.astype(int) + (toxic & (marked >= np.median(marked[toxic])))
     if len(np.unique(grade)) == GRADES:
         w, t = fit_ordinal(at, cols, x, grade, penalty)
