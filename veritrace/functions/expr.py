@@ -76,6 +76,7 @@ def metadata_value(name: Column, value: Column, location: Column, otherwise: boo
     return F.when(F.size(found) > 0, finding("medium", "confirmed", "ai-metadata", location, evidence, None, marker_note(found))).otherwise(plain)
 
 
+# Where an XMP packet names its tool.
 CREATOR_TOOL = r"""xmp:CreatorTool["'>\s]*=?["'>]?\s*([^<"']+)"""
 
 

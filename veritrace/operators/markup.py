@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.expr import explode_findings, finding, marker_note, markers, metadata_value, none, strip, xmp_findings
 
+# The patterns by which tags, attributes and blocks are told.
 ATTRIBUTE = r"""([\p{L}\p{N}_:-]+)\s*=\s*["']([^"']*)["']"""
 JSONLD = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 DATA_AI = r"""(?i)\s(data-ai[\p{L}\p{N}_-]*)\s*=\s*["']([^"']*)["']"""
@@ -72,6 +73,7 @@ def parse_html(df: DataFrame, target: str = "target", html: str = "html") -> Dat
 
 #: Line ends of Markdown: CRLF, or one of LF CR VT FF FS GS RS NEL LS PS.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Frontmatter keys about generators.
 KEY = r"(?i)^(generator|model|ai[-_].*|claude.*|gpt.*|llm.*)$"
 
 
@@ -98,6 +100,7 @@ def parse_markdown(df: DataFrame, target: str = "target", text: str = "text") ->
     return explode_findings(df.filter(opened).withColumn("target", F.col(target)), markdown_findings(F.col(text)), "target")
 
 
+# Literal fields of a PDF's document information.
 PDF_FIELD = r"/(Producer|Creator|Title|Author|CreationDate)\s*\(((?:[^()\\]|\\.)*)\)"
 
 
@@ -153,6 +156,7 @@ def fields_type() -> str:
     return f"array<{FINDING_DDL}>"
 
 
+# What is taken out of a page, in this order.
 VISIBLE_STEPS = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>")
 #: The entities that plain pages use; all others need unescape_all.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&shy;", "\u00ad"), ("&zwnj;", "\u200c"), ("&zwj;", "\u200d"), ("&amp;", "&"))

@@ -68,6 +68,7 @@ def strip_svg(svg: Column) -> Column:
     return F.regexp_replace(out, r"""(?i)\s+[A-Za-z0-9_:.-]*generator\s*=\s*("[^"]*"|'[^']*')""", "")
 
 
+# Keys of generators.
 #: A key goes if it is one of these, or begins with one and a dash or underscore.
 FRONTMATTER = r"(?i)^(?:generator|model|ai|claude|gpt|llm)(?:[-_][A-Za-z0-9_.-]*)?$"
 

@@ -152,6 +152,7 @@ def page_findings(pages: DataFrame, target: str = "target", html: str = "html")
     return out
 
 
+# Links of a page.
 LINK = r"""(?i)(?:src|href)\s*=\s*["']([^"']+)["']"""
 
 
