@@ -13,6 +13,9 @@ from ..functions.shipping import ship
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a batch that a worker holds at once.
+BATCH_ROWS = 1000
+
 _local: dict[str, str] = {}
 
 
@@ -59,8 +62,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, rows, ddl: str) -> DataFrame:
-    """mapInArrow with this package at hand in the workers."""
-    ship(df.sparkSession)
+    """mapInArrow with this package at hand in the workers.
+
+    Rows here are whole texts: a batch holds BATCH_ROWS of them at most, or as few as the session asks for.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(rows, ddl)
 
 

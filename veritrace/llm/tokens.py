@@ -17,8 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Units kept, and the characters of the longest unit kept: at most about 150 MB a worker.
-TABLE_UNITS, TABLE_UNIT_CHARS = 600_000, 64
+#: Units kept, and the characters of the longest unit kept: at most about 100 MB a worker.
+TABLE_UNITS, TABLE_UNIT_CHARS = 400_000, 64
 #: Characters cut into units at a time.
 SLICE_CHARS = 1 << 20
 #: Unicode white space as the tokenizers' patterns know it.
