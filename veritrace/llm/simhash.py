@@ -241,8 +241,8 @@ def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = wanted.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 32, np.int64)
-    for r in words.collect():  # at most FILTER_BITS / 32 rows
-        bitmap[r["w"]] = r["bits"]
+    found = words.toArrow()  # at most FILTER_BITS / 32 rows
+    bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = pa.schema([("id", pa.int64()), ("own", pa.binary())])
 
