@@ -98,6 +98,18 @@ def test_near_copies(spark, monkeypatch):
     assert sorted(x.doc_id for x in q.one_of_each(df).collect()) == sorted(set(want.values()))
 
 
+def test_near_copies_that_repeat_a_line(spark):
+    r = np.random.default_rng(11)
+    docs = []
+    for k in range(40):
+        w = [f"w{k}x{i}" for i in r.integers(0, 5000, 300)]
+        line = " ".join(f"l{k}x{i}" for i in range(11))
+        docs += [(2 * k, " ".join(w) + f" {line}"), (2 * k + 1, " ".join([*w[:-1], "other"]) + f" {line}" * 100)]
+    want = alike(docs)
+    assert set(want.values()) == {2 * k for k in range(40)}
+    assert {x.doc_id: x.component_id for x in q.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
 def test_rows_that_repeat(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (3, None), (4, ""), (2, "A b C d e f")], "doc_id long, text string").withColumn("least", F.lit(0))
     assert sorted(map(str, (r.doc_id for r in q.one_of_each(df).collect()))) == ["1", "3", "None"]
