@@ -57,6 +57,22 @@ def test_counts_and_base(spark, monkeypatch):
     assert q.score(df.limit(0), FILE).count() == 0
 
 
+def test_pieces_of_long_words(spark, monkeypatch):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    words = ["abc", "日本語" * 400, "a" * 300 + "zebra", "x", "q" * 900]
+    own = [(w, int(k % 2 == 0), int(k > 0)) for k, w in enumerate(words)]
+    df = spark.createDataFrame(own, "word string, c0 int, c1 int")
+    want = np.zeros((2, len(m)))
+    for w, *c in own:
+        for i in m.encode(w):
+            want[:, i] += c
+    assert np.array_equal(q.piece_counts(df, FILE, len(m), 2), want)
+    monkeypatch.setattr(q, "CALL_CHARS", 100)
+    assert ["".join(t for at, texts in q.calls(words) for i, t in zip(at, texts, strict=True) if i == k) for k in range(5)] == words
+
+
 def test_many_classes_and_none_to_train_on(spark):
     docs = [(k, "a b c") for k in range(40)]
     df = spark.createDataFrame([(*d, f"l{k % 11}") for k, d in enumerate(docs)], "doc_id long, text string, lang string")

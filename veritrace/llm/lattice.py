@@ -32,6 +32,8 @@ DICTIONARY, DICTIONARY_BYTES = 1 << 18, 128
 CLASSES = 8
 #: Words counted in a worker before the counts are handed on.
 COUNTED = 300_000
+#: Words that are cut into pieces at a time, and their characters; a longer word is cut in slices of so many.
+CALL, CALL_CHARS = 5000, 1 << 18
 #: Share of the end among tokens in the lattice's own distribution, and uses that the vocabulary's scores count for.
 END_SHARE, PRIOR = 0.01, 1000.0
 #: Of a class's reserve what goes to the words of other classes, what pieces used in all classes weigh in one, and the urn's size at the start.
@@ -149,8 +151,23 @@ def count(docs: DataFrame, classes: list[str], k: int) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("cls") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(k)))
 
 
+def calls(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Places of words and the words, or slices of long ones, in lists of at most CALL and about CALL_CHARS characters."""
+    at, texts, size = [], [], 0
+    for k, w in enumerate(words):
+        for a in range(0, len(w), CALL_CHARS):
+            at.append(k)
+            texts.append(w[a : a + CALL_CHARS])
+            size += len(texts[-1])
+            if len(at) == CALL or size >= CALL_CHARS:
+                yield at, texts
+                at, texts, size = [], [], 0
+    if at:
+        yield at, texts
+
+
 def piece_counts(words: DataFrame, path: str, size: int, k: int) -> np.ndarray:
-    """How often each piece is used in each class's distinct words, by the vocabulary's own segmentation."""
+    """How often each piece is used in each class's distinct words, all of their characters, by the vocabulary's own segmentation."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -160,9 +177,9 @@ def piece_counts(words: DataFrame, path: str, size: int, k: int) -> np.ndarray:
         for batch in batches:
             own = batch.column(0).to_pylist()
             has = [batch.column(1 + c).to_numpy() > 0 for c in range(k)]
-            for a in range(0, len(own), 5000):
-                ids = m.encode([w[:256] for w in own[a : a + 5000]], out_type=int, num_threads=1)
-                word = np.repeat(np.arange(a, a + len(ids)), [len(x) for x in ids])
+            for at, texts in calls(own):
+                ids = m.encode(texts, out_type=int, num_threads=1)
+                word = np.repeat(at, [len(x) for x in ids])
                 flat = np.fromiter((i for x in ids for i in x), np.int64, len(word))
                 for c in range(k):
                     total[c] += np.bincount(flat[has[c][word]], minlength=size)
