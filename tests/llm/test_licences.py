@@ -31,6 +31,20 @@ def test_a_licence_over_several_lines(spark):
     assert [(r.kind, r.nth, r.licence) for r in got] == [("block", 1, "MIT"), ("document", 0, "MIT")]
 
 
+def test_windows(spark):
+    prose = " ".join(f"word{k}" for k in range(400))
+    mit, apache, gpl = (q.TEMPLATES[k][1] for k in (4, 7, 11))
+    spread = {1: mit.replace(": The above", ":\n\nThe above").replace(". THE", ".\n\nTHE"), 2: apache.replace(" Unless", "\n\n    Unless"), 3: gpl.replace(". This", ".\n\nThis").replace(". You", ".\n\nYou")}
+    docs = [(k, f"{prose}\n\n{t}\n\n{prose}") for k, t in spread.items()]
+    docs += [(4, "Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0. All other rights are reserved by the holder."), (5, f"{mit} {prose} {mit} {mit}"), (6, f"{prose} under the {prose}"), (7, f"{prose}\nReleased under the MIT License.\n{prose}")]
+    got = q.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    rows = sorted((r.doc_id, r.nth, r.template, round(r.dice, 6)) for r in got if r.kind == "window")
+    n, m = 400, len(q.words_of(mit))
+    assert [r for r in rows if r[2] in (4, 7, 11)] == [(1, n, 4, 1.0), (2, n, 7, 1.0), (3, n, 11, 1.0), (5, 0, 4, 1.0), (5, m + n, 4, 1.0), (5, 2 * m + n, 4, 1.0)]
+    assert (4, 4, 5, 1.0) in rows and not [r for r in rows if r[0] in (6, 7)]
+    assert [(r.kind, r.nth) for r in got if r.doc_id == 7] == [("line", 1)]
+
+
 def test_probes_are_enough():
     found = set(q.probes(q.TEMPLATES))
     words, pattern = q.looked_for(sorted(found))

@@ -2,7 +2,9 @@
 word bigrams, in DataFrame operations alone.
 
 A passage is a line of a document, a run of lines between blank ones if it has several, or the whole
-document if that has several runs. Passages and templates are normalised alike: A-Z to lower case,
+document if that has several runs. What these do not bring up is looked for in windows: runs of words of
+any place and length that begin and end with a bigram of the template, so a licence is found in a part of
+a line and across blank lines too. Passages and templates are normalised alike: A-Z to lower case,
 everything but letters and digits to blanks. With a and b distinct bigrams, of which c are common,
 Dice is 2c / (a + b); for it to reach t, a must lie between b * t / (2 - t) and b * (2 - t) / t, which
 rules most templates out by size, and at least t / (2 - t) * b of the template's bigrams must occur, so
@@ -88,47 +90,132 @@ def looked_for(found: list[str]) -> tuple[list[str], str]:
     return words, "|".join(short)
 
 
+RUNS = r"\n[ \t\r]*(?:\n[ \t\r]*)+"
+
+
 def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, kind, nth, passage): lines, runs of several lines, whole documents of several runs."""
+    """(doc_id, kind, nth, passage, whole): lines, runs of several lines, whole documents of several lines; whole: the passage is all of its text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    runs = F.split(text, r"\n[ \t\r]*(?:\n[ \t\r]*)+")
+    runs = F.split(text, RUNS)
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("nth"), x.alias("passage")))
     blocks = F.filter(F.transform(runs, lambda x, i: F.struct(F.lit("block").alias("kind"), i.alias("nth"), x.alias("passage"))), lambda s: F.contains(s["passage"], F.lit("\n")) & (F.size(runs) > 1))
     whole = F.when(F.contains(text, F.lit("\n")), F.array(F.struct(F.lit("document").alias("kind"), F.lit(0).alias("nth"), text.alias("passage")))).otherwise(F.array().cast("array<struct<kind:string,nth:int,passage:string>>"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(lines, blocks, whole)).alias("p")).select("doc_id", "p.kind", "p.nth", "p.passage")
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(lines, blocks, whole)).alias("p"), (~F.contains(text, F.lit("\n"))).alias("one")).select("doc_id", "p.kind", "p.nth", "p.passage", (F.col("one") | (F.col("p.kind") == "document")).alias("whole"))
+
+
+def words_in(text):
+    """Spark's form of the normalisation; a text without words has one empty word."""
+    return F.split(F.trim(F.regexp_replace(ascii_lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def pairs_in(w):
+    """The bigrams of an array of two words or more, in their order."""
+    return F.transform(F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("a"), F.slice(w, 2, F.size(w) - 1).alias("b")), lambda x: F.concat(x["a"], F.lit(" "), x["b"]))
+
+
+def hits_in(g, templates, bigrams: list[list[str]], least: float):
+    """(licence, template, dice) of the templates that an array of distinct bigrams reaches least with."""
+    made = []
+    for k, ((licence, _), b) in enumerate(zip(templates, bigrams, strict=True)):
+        if b:
+            low, high = len(b) * least / (2 - least), len(b) * (2 - least) / least
+            common = F.size(F.array_intersect(g, F.array(*(F.lit(x) for x in b))))
+            dice = F.when((F.size(g) >= low - 1e-9) & (F.size(g) <= high + 1e-9), 2.0 * common / (F.size(g) + F.lit(len(b))))
+            made.append(F.struct(F.lit(licence).alias("licence"), F.lit(k).alias("template"), dice.alias("dice")))
+    return F.filter(F.array(*made), lambda s: s["dice"] >= least)
+
+
+def _let(value, use):
+    """use(value), evaluating value once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+WINDOW = "array<struct<licence:string,template:int,dice:double,first:int,last:int>>"
+
+
+def windows_in(s, own, template: int, licence: str, text: str, least: float):
+    """The best windows of a text for one template that do not overlap: first and last are places of bigrams.
+
+    s: the text's bigrams; own: (x, i), those of them that some template has, with their places. From
+    each of the template's bigrams windows reach as far as the bound on Dice allows; of windows that
+    overlap the one with the largest Dice stays, then the first.
+    """
+    b = bigrams_of(text)
+    need = ceil(least / (2 - least) * len(b) - 1e-9)
+    reach = int((len(words_of(text)) - 1) * (2 - least) / least + 1e-9)
+
+    def from_start(p, reached):
+        def to(m):
+            last = F.get(reached, m - 1)["i"]
+            common = F.size(F.array_distinct(F.transform(F.slice(reached, F.lit(1), m), lambda x: x["x"])))
+            size = F.size(F.array_distinct(F.slice(s, p["i"] + 1, last - p["i"] + 1)))
+            return F.struct((2.0 * common / (size + len(b))).alias("dice"), (-p["i"]).alias("back"), (-last).alias("end"))
+
+        enough = F.size(F.array_distinct(F.transform(reached, lambda x: x["x"]))) >= need
+        return F.when(enough, F.array_max(F.transform(F.sequence(F.lit(need), F.size(reached)), to)))
+
+    def found(o):
+        starts = F.transform(o, lambda p, k: _let(F.filter(F.slice(o, k + 1, F.lit(reach)), lambda e: e["i"] - p["i"] < reach), lambda reached: from_start(p, reached)))
+        ordered = F.sort_array(F.filter(starts, lambda x: x["dice"] >= least), asc=False)
+        made = F.transform(ordered, lambda x: F.struct(F.lit(licence).alias("licence"), F.lit(template).alias("template"), x["dice"].alias("dice"), (-x["back"]).alias("first"), (-x["end"]).alias("last")))
+        apart = F.aggregate(made, F.array().cast(WINDOW), lambda kept, x: F.when(F.exists(kept, lambda y: (y["first"] <= x["last"] + 1) & (x["first"] <= y["last"] + 1)), kept).otherwise(F.concat(kept, F.array(x))))
+        return F.when(F.size(o) >= need, apart).otherwise(F.array().cast(WINDOW))
+
+    return _let(F.filter(own, lambda h: h["x"].isin(b)), found)
+
+
+def reported(text, pattern: str, templates, bigrams: list[list[str]], least: float):
+    """(first, last, licences) of the parts of a text that reach least with some template; first and last are places of words."""
+    parts = F.transform(F.split(text, pattern), lambda x: _let(words_in(x), lambda w: F.filter(w, lambda y: y != "")))
+    blank = F.array().cast("array<struct<at:int,w:array<string>>>")
+    placed = F.aggregate(parts, F.struct(F.lit(0).alias("n"), blank.alias("ps")), lambda acc, w: F.struct((acc["n"] + F.size(w)).alias("n"), F.when(F.size(w) > 1, F.concat(acc["ps"], F.array(F.struct(acc["n"].alias("at"), w.alias("w"))))).otherwise(acc["ps"]).alias("ps")))["ps"]
+    told = F.transform(placed, lambda p: F.struct(p["at"].alias("first"), (p["at"] + F.size(p["w"]) - 1).alias("last"), _let(F.array_distinct(pairs_in(p["w"])), lambda g: F.transform(hits_in(g, templates, bigrams, least), lambda h: h["licence"])).alias("licences")))
+    return F.filter(told, lambda t: F.size(t["licences"]) > 0)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, kind, nth, licence, template, dice): each passage with each template it reaches least with.
 
-    kind and nth say which passage (line, block or document, counted from 0), template which of the
-    templates. Null and empty texts and passages of less than two words match nothing; repeated rows
-    give repeated matches; templates of less than two words are not looked for. Nothing is shuffled.
+    kind and nth say which passage (line, block or document, counted from 0; for a window nth is the
+    number of words before it), template which of the templates. Windows within a line that is reported,
+    or within a block or document that is reported with the same licence, are left to these. Null and
+    empty texts and passages of less than two words match nothing; repeated rows give repeated matches;
+    templates of less than two words are not looked for. Nothing is shuffled.
     """
     bigrams = [bigrams_of(t) for _, t in templates]
     longest = max(map(len, bigrams)) * (2 - least) / least
-    normal = F.trim(F.regexp_replace(ascii_lower(F.col("passage")), r"[^\p{L}\p{N}]+", " "))
     probed = probes(templates, least)
     low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     words, pattern = looked_for(probed)
     seen = low.rlike(pattern) if pattern else F.lit(False)
     for word in words:
         seen = seen | F.contains(low, F.lit(word))
-    own = passages(docs.filter(seen), id_col, text_col).withColumn("w", F.split(normal, " "))
-    # By size first: distinct bigrams are at most the words, so only a long passage can be ruled out yet by them.
+    own = passages(docs.filter(seen), id_col, text_col).withColumn("w", words_in(F.col("passage")))
     own = own.filter(F.size("w") > 1)
-    pairs = F.transform(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b")), lambda x: F.concat(x["a"], F.lit(" "), x["b"]))
     probe = F.array(*(F.lit(b) for b in probed))
-    own = own.withColumn("g", pairs).filter(F.arrays_overlap("g", probe)).withColumn("g", F.array_distinct("g")).filter(F.size("g") <= longest)
-    made = []
-    for k, ((licence, _), b) in enumerate(zip(templates, bigrams, strict=True)):
-        if b:
-            low, high = len(b) * least / (2 - least), len(b) * (2 - least) / least
-            common = F.size(F.array_intersect("g", F.array(*(F.lit(x) for x in b))))
-            dice = F.when((F.size("g") >= low - 1e-9) & (F.size("g") <= high + 1e-9), 2.0 * common / (F.size("g") + F.lit(len(b))))
-            made.append(F.struct(F.lit(licence).alias("licence"), F.lit(k).alias("template"), dice.alias("dice")))
-    hits = F.filter(F.array(*made), lambda s: s["dice"] >= least)
-    return own.select("doc_id", "kind", "nth", F.explode(hits).alias("hit")).select("doc_id", "kind", "nth", "hit.licence", "hit.template", "hit.dice")
+    own = own.withColumn("s", pairs_in(F.col("w"))).filter(F.arrays_overlap("s", probe)).withColumn("g", F.array_distinct("s")).filter("size(g) <= {} or whole".format(longest))
+    own = own.withColumn("hits", hits_in(F.col("g"), templates, bigrams, least))
+    every = sorted({x for b in bigrams for x in b})
+    placed = F.filter(F.transform("s", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(every))
+    none = F.array().cast(WINDOW)
+    own = own.withColumn("h", F.when(F.col("whole"), placed))
+    each = [windows_in(F.col("s"), F.col("h"), k, name, t, least) for k, ((name, t), b) in enumerate(zip(templates, bigrams, strict=True)) if b]
+    own = own.withColumn("v", F.when(F.col("whole"), F.concat(*each)).otherwise(none))
+    # Only texts with windows are looked through for the lines and blocks that are reported anyway.
+    any_ = F.size("v") > 0
+    own = own.withColumn("lines", F.when(any_, reported(F.col("passage"), "\n", templates, bigrams, least))).withColumn("runs", F.when(any_, reported(F.col("passage"), RUNS, templates, bigrams, least)))
+
+    def within(v, t):
+        return (t["first"] <= v["first"]) & (v["last"] + 1 <= t["last"])
+
+    def new(v):
+        by_line = F.exists("lines", lambda t: within(v, t))
+        by_run = F.exists("runs", lambda t: within(v, t) & F.array_contains(t["licences"], v["licence"]))
+        return ~(by_line | by_run | F.exists("hits", lambda h: h["licence"] == v["licence"]))
+
+    fixed = F.transform("hits", lambda h: F.struct(F.col("kind").alias("kind"), F.col("nth").alias("nth"), h["licence"].alias("licence"), h["template"].alias("template"), h["dice"].alias("dice")))
+    free = F.when(any_, F.transform(F.filter("v", new), lambda v: F.struct(F.lit("window").alias("kind"), v["first"].alias("nth"), v["licence"].alias("licence"), v["template"].alias("template"), v["dice"].alias("dice")))).otherwise(F.array().cast("array<struct<kind:string,nth:int,licence:string,template:int,dice:double>>"))
+    return own.select("doc_id", F.explode(F.concat(fixed, free)).alias("hit")).select("doc_id", "hit.kind", "hit.nth", "hit.licence", "hit.template", "hit.dice")
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
