@@ -158,26 +158,30 @@ def fields_type() -> str:
 
 # What is taken out of a page, in this order.
 VISIBLE_STEPS = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>")
-#: The entities that plain pages use; all others need unescape_all.
+#: The entities that plain pages use; pages with any other are unescaped by Python's table.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&shy;", "\u00ad"), ("&zwnj;", "\u200c"), ("&zwj;", "\u200d"), ("&amp;", "&"))
+OTHER_ENTITY = "&(?!(?:" + "|".join(mark[1:-1] for mark, _ in ENTITIES) + ");)[#A-Za-z]"
 
 
 def visible_text(html: Column, entities: bool = True) -> Column:
-    """A page's text: scripts, styles, comments and tags are blanks; a finite set of entities is resolved, & last."""
+    """A page's text: scripts, styles, comments and tags are blanks; all of HTML's entities are resolved, once."""
     out = html
     for step in VISIBLE_STEPS:
         out = F.regexp_replace(out, step, " ")
-    for mark, char in ENTITIES if entities else ():
-        out = F.replace(out, F.lit(mark), F.lit(char))
-    return out
+    if not entities:
+        return out
+    plain = out
+    for mark, char in ENTITIES:
+        plain = F.replace(plain, F.lit(mark), F.lit(char))
+    return F.coalesce(unescape_all(F.when(out.rlike(OTHER_ENTITY), out)), plain)
 
 
-def unescape_all(df: DataFrame, column: str) -> DataFrame:
-    """All of HTML's entities, by Python's table, in Arrow batches; for pages beyond ENTITIES."""
+def unescape_all(column: Column) -> Column:
+    """All of HTML's entities, by Python's table, in Arrow batches; null stays null."""
     @F.pandas_udf("string")
     def resolved(s: pd.Series) -> pd.Series:
         from html import unescape
 
         return s.map(unescape, na_action="ignore")
 
-    return df.withColumn(column, resolved(column))
+    return resolved(column)
