@@ -100,8 +100,8 @@ def parse_markdown(df: DataFrame, target: str = "target", text: str = "text") ->
     return explode_findings(df.filter(opened).withColumn("target", F.col(target)), markdown_findings(F.col(text)), "target")
 
 
-# Literal fields of a PDF's document information.
-PDF_FIELD = r"/(Producer|Creator|Title|Author|CreationDate)\s*\(((?:[^()\\]|\\.)*)\)"
+# Literal fields of a PDF's document information; possessive, as long values overflow the stack else.
+PDF_FIELD = r"/(Producer|Creator|Title|Author|CreationDate)\s*\(((?:[^()\\]++|\\.)*+)\)"
 
 
 def pdf_fields(latin: Column) -> Column:

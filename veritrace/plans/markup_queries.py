@@ -102,8 +102,24 @@ def pdf_marker_scan(spark, sf_dir):
     return _pdfs(spark, sf_dir).select("target", F.array_join(markers(markup.pdf_uncompressed(F.col("latin"))), ", ").alias("markers"))
 
 
+def pdf_string(text):
+    """A text as a PDF's literal string, its UTF-8 bytes as characters."""
+    out = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    for mark in ("\\", "(", ")"):
+        out = F.replace(out, F.lit(mark), F.lit("\\" + mark))
+    return out
+
+
+def whole_pdfs(docs):
+    """(target, latin): a PDF of each of (target, text), which names the whole text."""
+    t = F.col("target")
+    p = F.concat(F.lit("%PDF-1.4 /Producer (Acme \\(x\\) "), pdf_string(F.coalesce("text", F.lit(""))), F.lit(") /Title ("), t.cast("string"), F.lit(") obj /Filter /FlateDecode stream\nopenai packed endstream "), F.when(F.pmod(t, F.lit(2)) == 0, "Midjourney").otherwise("none"), F.lit(" %%EOF"), F.when(F.pmod(t, F.lit(3)) == 0, " %%EOF").otherwise(""))
+    return docs.select("target", p.alias("latin"))
+
+
 def pdf_findings(spark, sf_dir):
-    return explode_findings(_pdfs(spark, sf_dir), markup.pdf_findings(F.col("latin")), "target").select("target", "ord", "severity", "category", "location", "evidence", "note")
+    docs = seeds.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target"), "text")
+    return explode_findings(whole_pdfs(docs), markup.pdf_findings(F.col("latin")), "target").select("target", "ord", "severity", "category", "location", "evidence", "note")
 
 
 def _manifests(spark, sf_dir):
