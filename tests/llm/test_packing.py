@@ -36,7 +36,7 @@ def test_plan_uses_every_piece_once():
 
 
 def test_sequences(spark):
-    rows = [(1, "a b c " * 3000), (2, None), (3, ""), (3, "x y"), (3, "x y"), (None, "z"), *((10 + k, "word " * (k % 700)) for k in range(300))]
+    rows = [(1, "a b c " * 3000), (2, None), (3, ""), (3, "x y"), (3, "x y"), (4, "a<|endoftext|> b <|startoftext|>"), (None, "z"), *((10 + k, "word " * (k % 700)) for k in range(300))]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, part int, offset int").repartition(3)
     plain = Tokenizer.from_file(FILE)
     ids = {t: np.asarray([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t in rows}

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -10,20 +11,33 @@ from tokenizers import Tokenizer
 from veritrace.llm import common, simple8b, tokens
 
 ODD = [
-    "", "a", " a", "a ", "a  b", "a\n\nb", "  ", "\t x y", "a\x1c!\x1cb !\x1c", "don't  we'll x", "É́ é a ́", "<|endoftext|> x", "a\r\n b  \n\n  c 1 23 ",
-    "Foo.Bar,baz!x aд.b ²3 b²3.", "Straße ÀÉ. don't 'southern", "a.b..c 3.5 4,000 x4. 4x.", "ΑΣ ς", "日本 語　テ",
+    "", "a", " a", "a ", "a  b", "a\n\nb", "  ", "\t x y", "a\x1c!\x1cb !\x1c", "don't  we'll x", "É́ é a ́", "<|endoftext|> x", "a <|endoftext|>  <|startoftext|><|endoftext|>b c<|ENDOFTEXT|>", "<|endof<|endoftext|>text|>", "\n<|endoftext|>\n ",
+    "a\r\n b  \n\n  c 1 23 ",
+    "Foo.Bar,baz!x aд.b ²3 b²3.", "Straße ÀÉ. don't 'southern", "a.b..c 3.5 4,000 x4. 4x.", "ΑΣ ς", "日本 語　テ", "x#y=\u0338 a(b)c_d 1a’s a\u0301`",
 ]
 
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_library_s(file):
     plain = Tokenizer.from_file(public_tokenizers.path(file))
-    plain.encode_special_tokens = True
     enc = tokens.Encoder(public_tokenizers.path(file))
     for text in [*ODD, "word " * 300_000, "x" * 5000]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([*ODD, "<|endoftext|>", "<|startoftext|>", "<|", " ", "\n"]), st.text(max_size=4)), max_size=8).map("".join))
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_any_text(file, text):
+    plain, enc = _both(file)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def _both(file):
+    return Tokenizer.from_file(public_tokenizers.path(file)), tokens.Encoder(public_tokenizers.path(file))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50_000), st.just(0), st.integers(0, 2**64 - 1), st.integers(0, 3)), max_size=700))
 def test_round_trip(values):
