@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, scratch, table
+from .common import by_ranges, map_batches, scratch, table
 
 #: Values in a word and bits for each, by selector; 0 and 1 are special.
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -174,10 +174,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
         if ids:
             yield flush()
 
-    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    narrow = narrow.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
-    map_batches(narrow, rows, BLOCKS_DDL).write.option("compression", "zstd").parquet(path)
+    map_batches(by_ranges(narrow, "id", "text"), rows, BLOCKS_DDL).write.option("compression", "zstd").parquet(path)
 
 
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int64()))])

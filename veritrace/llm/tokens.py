@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer, at a few times the speed of plain encoding.
 
 Both tokenizers first take out the strings of their added tokens, then cut a text, before they merge
-anything, where white space begins and where Latin letters meet white space or a stop, so a text is
-the concatenation of units whose ids do not depend on each other. A unit that is one run of Latin
+anything, where white space begins and where a run of Latin letters ends, so a text is the
+concatenation of units whose ids do not depend on each other. A unit that is one run of Latin
 letters goes straight to the library's model, any other through the library's whole tokenizer. A
 bounded table of units already encoded saves encoding the frequent ones again, which changes speed
 alone. The ids are those of the library's encode(text, add_special_tokens=False) for any text.
@@ -14,17 +14,21 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-#: Units kept, and the characters of the longest unit kept: at most about 100 MB a worker.
-TABLE_UNITS, TABLE_UNIT_CHARS = 400_000, 64
+#: Units kept that came up again, units kept until they do, and the characters of the longest kept: at most about 140 MB a worker.
+TABLE_UNITS, NEW_UNITS, TABLE_UNIT_CHARS = 350_000, 250_000, 64
+#: The table is emptied when the new units were dropped so often since it was full.
+STALE = 16
 #: Characters cut into units at a time.
 SLICE_CHARS = 1 << 20
 #: Unicode white space as the tokenizers' patterns know it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters that are one character in any normal form and whose lower case is one character.
 LATIN = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
-_ALONE = f"[{LATIN}]+(?=[{SPACE}.,;:!?]|$)"
+#: What ends a run of letters in either pattern and joins with nothing before it in any normal form.
+_ENDS = f"{SPACE}!-@\\[-`{{-~\\u2010-\\u2027"
+_ALONE = f"[{LATIN}]+(?=[{_ENDS}]|$)"
 _CUT = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 
 _encoders: dict[str, Encoder] = {}
@@ -37,6 +41,30 @@ def _letters_of_bytes() -> str:
     return "".join(chr(b if b in prints else next(rest)) for b in range(256))
 
 
+class _Table(dict):
+    """Ids by unit: a unit stays for good once it comes up again while it is among the new ones."""
+
+    def __init__(self, made: Callable[[str], bytes]):
+        self.made, self.new, self.dropped = made, {}, 0
+
+    def __missing__(self, unit: str) -> bytes:
+        new = self.new
+        ids = new.get(unit)
+        if ids is None:
+            ids = self.made(unit)
+            if len(unit) <= TABLE_UNIT_CHARS:
+                if len(new) >= NEW_UNITS:
+                    new.clear()
+                    self.dropped += len(self) >= TABLE_UNITS
+                    if self.dropped > STALE:
+                        self.clear()
+                        self.dropped = 0
+                new[unit] = ids
+        elif len(self) < TABLE_UNITS:
+            self[unit] = new.pop(unit)
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -56,8 +84,7 @@ class Encoder:
         if any(t[flag] for t in parts["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens are matched as they stand; this file asks for more")
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
-        self.table: dict[str, bytes] = {}
-        self.missed = 0
+        self.table = _Table(self._unit)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, four bytes each."""
@@ -66,31 +93,14 @@ class Encoder:
             if k % 2:
                 out.append(self.added[part])
             else:
-                out += map(self._slice, slices(part))
-        return b"".join(out)
-
-    def _slice(self, text: str) -> bytes:
-        units, table = self.units(text), self.table
-        try:
-            return b"".join(map(table.__getitem__, units))
-        except KeyError:
-            pass
-        if self.missed > 8 * TABLE_UNITS:
-            table.clear()
-            self.missed = 0
-        out = []
-        for u in units:
-            if (made := table.get(u)) is None:
-                made = self._unit(u)
-                self.missed += 1
-                if len(table) < TABLE_UNITS and len(u) <= TABLE_UNIT_CHARS:
-                    table[u] = made
-            out.append(made)
+                out += (b"".join(map(self.table.__getitem__, self.units(x))) for x in slices(part))
         return b"".join(out)
 
     def _unit(self, unit: str) -> bytes:
-        if self.alone(unit):
-            ids = [t.id for t in self.model.tokenize((unit.lower() if self.bare else unit).encode().decode("latin-1").translate(self.bytes))]
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha() and (ascii_ := word.isascii() or self.alone(unit)):
+            word = unit.lower() if self.bare else unit
+            ids = [t.id for t in self.model.tokenize(word.replace(" ", self.bytes[32]) if ascii_ is True else word.encode().decode("latin-1").translate(self.bytes))]
         else:
             ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
         return array("I", ids).tobytes()
