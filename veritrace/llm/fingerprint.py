@@ -5,9 +5,10 @@ the fingerprint is the sum of the vectors, lane by lane modulo a power of two, s
 paragraphs does not matter and paragraphs can be added or taken out by adding or subtracting theirs.
 
 The vector of a paragraph has two parts. EQUAL lanes of 32 bits come from hashes of the whole
-paragraph; they carry equality. LIKE lanes of 16 bits hold, for every word of the paragraph, plus or
+paragraph; they carry equality. LIKE lanes of 32 bits hold, for every word of the paragraph, plus or
 minus one by the bits of a hash of the word and its two successors there; their products estimate
-how many such runs of words two documents share, which is the likeness of two fingerprints.
+how many such runs of words two documents share, which is the likeness of two fingerprints. A text
+is below 2**31 bytes and so has fewer than 2**30 words: its LIKE lanes never wrap.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ _EQUAL_SEED, _LIKE_SEED = 1, 1001
 _LOW32 = 0xFFFFFFFF
 
 
-def _unsigned_sum(column, bits: int):
-    """The sum modulo 2**bits, as a signed integer of so many bits."""
-    half = 1 << (bits - 1)
-    return F.pmod(column + F.lit(half), F.lit(1 << bits)) - F.lit(half)
+def _lane(column):
+    """The sum modulo 2**32, as a signed integer of 32 bits."""
+    half = F.lit(1 << 31)
+    return (F.pmod(column + half, F.lit(1 << 32)) - half).cast("int")
 
 
 def vectors(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -57,35 +58,31 @@ def vectors(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         sums.append(F.sum(F.when(F.col("first"), h.bitwiseAND(F.lit(_LOW32))).otherwise(F.lit(0).cast("long"))).alias(f"e{e}_0"))
         sums.append(F.sum(F.when(F.col("first"), F.shiftrightunsigned(h, 32)).otherwise(F.lit(0).cast("long"))).alias(f"e{e}_1"))
     total = hashed.groupBy(*key).agg(*sums)
-    lanes = [_unsigned_sum(F.col(f"e{e}_{half}"), 32) for e in range(EQUAL // 2) for half in (0, 1)]
+    lanes = [_lane(F.col(f"e{e}_{half}")) for e in range(EQUAL // 2) for half in (0, 1)]
     for i in range(LIKE // 64):
         for b in range(32):
             for ones in (F.col(f"s{i}_{b}").bitwiseAND(F.lit(_LOW32)), F.shiftrightunsigned(F.col(f"s{i}_{b}"), 32)):
-                lanes.append(_unsigned_sum(2 * ones - F.col("n"), 16))
-    return total.select(*key, F.array(*(x.cast("int") for x in lanes)).alias("fp"))
+                lanes.append(_lane(2 * ones - F.col("n")))
+    return total.select(*key, F.array(*lanes).alias("fp"))
 
 
 def combine(a, b, sign: int = 1):
     """The fingerprint of the union of two documents' paragraphs, or with sign -1 of their difference."""
 
-    def lane(x, y, bits: int):
-        return _unsigned_sum(x.cast("long") + sign * y.cast("long"), bits).cast("int")
-
-    return F.concat(
-        F.zip_with(F.slice(a, 1, EQUAL), F.slice(b, 1, EQUAL), lambda x, y: lane(x, y, 32)),
-        F.zip_with(F.slice(a, EQUAL + 1, LIKE), F.slice(b, EQUAL + 1, LIKE), lambda x, y: lane(x, y, 16)),
-    )
+    return F.zip_with(a, b, lambda x, y: _lane(x.cast("long") + sign * y.cast("long")))
 
 
 def text_of(fp):
     """Fixed-width lowercase hex of a fingerprint."""
-    wide = F.transform(F.slice(fp, 1, EQUAL), lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(_LOW32))), 8, "0"))
-    slim = F.transform(F.slice(fp, EQUAL + 1, LIKE), lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFF))), 4, "0"))
-    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(slim, "")))
+    return F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(_LOW32))), 8, "0")), ""))
 
 
 def likeness(a, b):
-    """0 to 1: the cosine of the LIKE lanes, not below 0; 1 for equal fingerprints alone, 0 if either has no words."""
+    """0 to 1: the cosine of the LIKE lanes, not below 0.
+
+    1 for equal fingerprints, and for those whose runs of words occur in the same proportions (a
+    text and itself twice); 0 if one of two unlike fingerprints has no words.
+    """
 
     def dot(x, y):
         return F.aggregate(F.zip_with(F.slice(x, EQUAL + 1, LIKE), F.slice(y, EQUAL + 1, LIKE), lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
@@ -135,7 +132,11 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp), a row for each row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the next
-    document's first ones, or all of them. A null text is empty.
+    document's first ones, or all of them. A null text is empty, and the next of a single row is
+    itself. Rows of one id follow each other in order of their texts and repeated rows are rows of
+    their own, all of them in one range, as rows of null ids are, which come last; ids are meant to
+    be mostly distinct. Texts are whole, however long. An empty table gives no rows; columns of
+    other names are ignored.
     """
     near = neighbours(docs, id_col, text_col)
     n = F.char_length("text")
