@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ def alike(docs, size=5, similarity=0.8):
 
 
 def test_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(q, "BLOCK", 40)
-    monkeypatch.setattr(q, "SHARD", 90)
+    for name, rows in (("BLOCK", 40), ("SHARD", 90), ("SKETCH_BLOCK", 60), ("SKETCH_SHARD", 110), ("STAR", 16)):
+        monkeypatch.setattr(q, name, rows)
     r = np.random.default_rng(3)
     base = [f"w{i}" for i in r.integers(0, 5000, 160)]
     docs = [(5, ""), (6, "  "), (7, "a b"), (8, "A B"), (9, "a b c")]
@@ -110,6 +111,51 @@ def test_near_copies_that_repeat_a_line(spark):
     assert {x.doc_id: x.component_id for x in q.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9])
+def test_recall_at_any_similarity(spark, similarity):
+    r = np.random.default_rng(17)
+    docs = []
+    for k in range(60):  # pairs on either side of the similarity
+        w = [f"w{i}" for i in r.integers(0, 10**6, 200)]
+        docs.append((2 * k, " ".join(w)))
+        for _ in range(int(r.integers(0, round(42 * (1 - similarity) / similarity) + 2))):
+            w[r.integers(0, 200)] = f"e{r.integers(0, 10**6)}"
+        docs.append((2 * k + 1, " ".join(w)))
+    want = alike(docs, similarity=similarity)
+    got = {x.doc_id: x.component_id for x in q.classes(spark.createDataFrame(docs, "doc_id long, text string"), similarity=similarity).collect()}
+    linked = {d for d in want if want[d] != d}
+    assert len(linked) > 20 and all(got[d] == d for d in want if d not in linked)
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)
+
+
+def test_groups_that_are_almost_alike(spark, monkeypatch):
+    # Many documents of one pattern, somewhat less alike than 0.8, with chains of links between them.
+    monkeypatch.setattr(q, "PAIRED", 4)
+    for name, rows in (("BLOCK", 10), ("SHARD", 20), ("SKETCH_BLOCK", 15), ("SKETCH_SHARD", 25)):
+        monkeypatch.setattr(q, name, rows)
+    r = np.random.default_rng(23)
+    base = [f"w{i}" for i in r.integers(0, 5000, 150)]
+    docs = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(int(r.integers(2, 9))):
+            w[r.integers(0, 150)] = f"e{r.integers(0, 10**6)}"
+        docs.append((3 * k, " ".join(w)))
+    want = alike(docs)
+    assert 5 < len(set(want.values())) < 115
+    assert {x.doc_id: x.component_id for x in q.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_names_and_nulls(spark):
+    rows = [(1, "a b c d e f", 0, "x"), (2, "a b c d e f", 1, None), (None, None, 2, "y"), (None, "a b c d e f", 3, "z"), (4, None, 4, "w"), (5, " ", 5, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, twice string").withColumn("__gone", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("least", F.lit(3))
+    got = q.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(r.gone for r in got.collect()) == [0, 2, 3, 4]
+    got = {(r.doc_id, r.fp): r.component_id for r in q.near_duplicates(df.withColumn("fp", F.lit("q"))).collect()}
+    assert {k[0]: v for k, v in got.items() if k[1] == 0} == {None: 4, 4: 4, 5: 4} and {v for k, v in got.items() if k[1]} == {1}
+
+
 def test_rows_that_repeat(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (3, None), (4, ""), (2, "A b C d e f")], "doc_id long, text string").withColumn("least", F.lit(0))
     assert sorted(map(str, (r.doc_id for r in q.one_of_each(df).collect()))) == ["1", "3", "None"]
