@@ -18,20 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, scratch, staged, table
+from .common import map_batches, salted_join, scratch, staged, table
 
 CRLF = "\r\n"
 MIN_REVISIT_BYTES = 100
-#: About 100 to 200 MB of pages before compression; a file is read by one task.
-CAPTURES_PER_FILE = 16_384
+#: Bytes of payloads in a file at most, but for a single longer one: a file is read whole by one task.
+FILE_BYTES = 1 << 30
+#: Payloads are written by classes of size, each up to so many bytes and with as many to a file as may fit.
+CLASS_BYTES = (1 << 16, 1 << 22, 1 << 28)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _record_id(kind: str, page=None):
-    """Identifier of the capture's record of that kind, from the page and its __digest."""
-    page = F.col("__page") if page is None else page
-    h = F.md5(F.concat(F.lit(f"{kind}|"), F.coalesce(page.cast("string"), F.lit("null")), F.lit("|"), F.col("__digest")))
+def _record_id(kind: str, page="__page", url="__url"):
+    """Identifier of the capture's record of that kind, from the page, its url and its __digest."""
+    parts = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in (page, url))
+    h = F.md5(F.concat_ws("|", F.lit(kind), *parts, F.col("__digest")))
     dashed = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
@@ -42,33 +44,36 @@ def _record(headers: list, block):
     return F.concat(head, F.lit(CRLF * 2), block)
 
 
-def revisits(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(__page, __digest, __first): pages whose payload of at least 100 bytes is that of a smaller id.
+def revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """(__page, __digest, __first, __first_url): pages whose payload of at least 100 bytes is that of a smaller id.
 
-    Only ids and digests are shuffled; the smallest id of a digest is a partial aggregate, so a
-    payload that a third of all pages share costs one row a task.
+    Only ids, urls and digests are shuffled; the smallest id of a digest is a partial aggregate, and
+    the pages of a payload that a third of all share meet it in many tasks.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     keyed = staged(
-        pages.select(F.col(id_col).alias("__page"), payload.alias("__payload"))
+        pages.select(F.col(id_col).alias("__page"), F.col(url_col).cast("string").alias("__url"), payload.alias("__payload"))
         .filter(F.octet_length("__payload") >= MIN_REVISIT_BYTES)
-        .select("__page", F.sha2("__payload", 256).alias("__digest")),
+        .filter(F.col("__page").isNotNull())
+        .select("__page", "__url", F.sha2("__payload", 256).alias("__digest")),
         "warc-digests",
     )
-    firsts = keyed.groupBy("__digest").agg(F.min("__page").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    return keyed.join(firsts, "__digest").filter("__page > __first").select("__page", "__digest", "__first").distinct()
+    firsts = keyed.groupBy("__digest").agg(F.min(F.struct("__page", "__url")).alias("__f"), F.count("*").alias("__n")).filter("__n > 1")
+    firsts = staged(firsts.select("__digest", F.col("__f.__page").alias("__first"), F.col("__f.__url").alias("__first_url"), "__n"), "warc-firsts")
+    return salted_join(keyed.drop("__url"), firsts, ["__digest"], "__n", "__page").filter("__page > __first").select("__page", "__digest", "__first", "__first_url").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", captures_per_file: int = CAPTURES_PER_FILE) -> None:
-    """Writes three records a row of pages to path.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
+    """Writes three records a row of pages to files below path.
 
     A null payload is empty; a null url leaves its header out; white space and control characters
-    in a url are percent-encoded; a null id is never a revisit. Repeated rows are written as often
-    as they occur. Columns of other names are ignored.
+    in a url are percent-encoded; a null id is never a revisit, nor refers any to it. Repeated rows
+    are written as often as they occur; rows that differ in their url alone are captures of their
+    own. An empty table gives no file. Columns of other names are ignored.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    own = pages.select(F.col(id_col).alias("__page"), F.col(url_col).alias("__url"), payload.alias("__payload")).withColumn("__digest", F.sha2(F.col("__payload").cast("binary"), 256))
-    full = own.join(revisits(pages, id_col, payload_col), ["__page", "__digest"], "left")
+    own = pages.select(F.col(id_col).alias("__page"), F.col(url_col).cast("string").alias("__url"), payload.alias("__payload")).withColumn("__digest", F.sha2(F.col("__payload").cast("binary"), 256))
+    again = revisits(pages, id_col, url_col, payload_col)
     n = F.octet_length("__payload").cast("string")
     uri = F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("__url", r"[\x00-\x20\x7f]", "%20"))
     main, request, meta = _record_id("main"), _record_id("request"), _record_id("metadata")
@@ -92,14 +97,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 *lead(F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response")), main),
                 header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("__digest"))),
                 F.when(is_revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-                F.when(is_revisit, header("WARC-Refers-To", _record_id("main", F.col("__first")))),
+                F.when(is_revisit, header("WARC-Refers-To", _record_id("main", "__first", "__first_url"))),
                 F.lit("Content-Type: application/http;msgtype=response"),
             ],
             F.when(is_revisit, http).otherwise(F.concat(http, F.col("__payload"))),
         ),
         _record([*lead(F.lit("metadata"), meta), to_main(), F.lit("Content-Type: application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("__page").cast("string"), F.lit("")), F.lit(f"{CRLF}payload-length: "), n, F.lit(CRLF))),
     )
-    full.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(path)
+    size = F.octet_length(payload)
+    of = sum(((size > b).cast("int") for b in CLASS_BYTES[1:]), (size > CLASS_BYTES[0]).cast("int"))
+    classes = [r["k"] for r in pages.groupBy(of.alias("k")).count().collect()]  # at most one more than CLASS_BYTES
+    for k in sorted(classes) or [0]:
+        most = CLASS_BYTES[k] if k < len(CLASS_BYTES) else file_bytes
+        below, above = (F.octet_length("__payload") <= most) if k < len(CLASS_BYTES) else F.lit(True), F.octet_length("__payload") > (CLASS_BYTES[k - 1] if k else -1)
+        full = own.filter(below & above).join(again, ["__page", "__digest"], "left")
+        full.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, file_bytes // most)).text(f"{path}/class-{k}")
 
 
 RECORDS = pa.schema(
@@ -148,7 +160,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=RECORDS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return map_batches(files, rows, RECORDS_DDL)
 
 
@@ -183,8 +195,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "warc-captures",
     )
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    again = got.filter("record_type = 'revisit'")
     first = got.filter("record_type = 'response'").select(F.col("capture_id").alias("__to"), F.col("page_id").alias("refers_to")).dropDuplicates(["__to"])
-    return got.join(first, "__to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    first = staged(first.join(again.groupBy("__to").agg(F.count("*").alias("__n")), "__to"), "warc-referred")
+    found = salted_join(again, first, ["__to"], "__n", "capture_id", "left")
+    return got.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(found.select(*columns))
 
 
 OP7_SQL = """
