@@ -1,7 +1,14 @@
+import collections
+import math
+import re
+
 import numpy as np
+import pytest
 
 from veritrace.llm import severity as q
 
+DATA = "/root/testdata/sf0.001"
+
 CLEAN = "the quick brown fox jumps over a lazy dog while many small birds sing in tall green trees near water".split()
 
 
@@ -49,3 +56,57 @@ def test_nothing_to_learn_from(spark):
     assert q.score(odd, q.fit(docs, labels)).count() == 4
     assert q.score(odd.limit(0), q.fit(docs, labels)).count() == 0
     assert q.fit(docs, labels.union(spark.createDataFrame([(None, 1), (0, None)], "doc_id long, toxic int"))).weights
+
+
+def probabilities(model, text):
+    """P(grade > k) from the words alone, feature by feature."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    seen = collections.Counter(f for w in words for f in [w + " ", *(w[:k] for k in (3, 4, 5, 6) if len(w) >= k)])
+    score = sum(model.weights.get(f, 0.0) * math.log1p(200 * n / (len(words) + 20)) for f, n in seen.items())
+    return [1 / (1 + math.exp(min(500.0, max(-500.0, t - score)))) for t in model.thresholds]
+
+
+def test_the_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = q.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert model.weights and len(model.thresholds) == q.GRADES - 1
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = q.op10_severity(spark, DATA).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        p = probabilities(model, texts[r.doc_id])
+        assert r.p_toxic == pytest.approx(p[0], abs=1e-9) and r.expected_severity == pytest.approx(sum(p), abs=1e-9)
+        assert r.rejected == (p[0] >= q.REJECT) and r.grade == sum(x >= 0.5 for x in p)
+
+
+def test_the_fit_is_the_least_there_is():
+    r = np.random.default_rng(8)
+    n, p = 120, 6
+    rows, cols = np.repeat(np.arange(n), 3), r.integers(0, p, 3 * n)
+    x, grade = r.random(3 * n), r.integers(0, 3, n)
+    x[cols == 0] += grade[rows[cols == 0]]
+    penalty = np.full(p, 1e-3)
+
+    def loss(w, t):
+        score, out = np.bincount(rows, w[cols] * x, minlength=n), float(penalty @ w)
+        for k in range(2):
+            yes = grade > k
+            prob = 1 / (1 + np.exp(t[k] - score))
+            out -= (1 - q.CLEAN) * np.log(prob[yes]).mean() + q.CLEAN * np.log(1 - prob[~yes]).mean()
+        return out
+
+    w, t = q.fit_ordinal(rows, cols, x, grade, penalty, steps=6000)
+    best = loss(w, t)
+    for _ in range(400):
+        step = r.normal(size=p + 2) * 10.0 ** r.uniform(-4, -1)
+        other_w, other_t = np.maximum(0, w + step[:p]), np.sort(t + step[p:])
+        assert loss(other_w, other_t) >= best - 1e-7
+
+
+def test_repeats_ties_and_names(spark):
+    docs, labels = frames(spark, list(corpus(80, 1)))
+    model = q.fit(docs, labels.union(labels))
+    rows = spark.createDataFrame([(1, "vile vile", "a"), (1, "vile vile", "a"), (1, "vile vile", "b"), (2, "x " * 300_000 + "vile", "c")], "doc_id long, text string, rejected string")
+    got = q.score(rows, model).collect()
+    assert len(got) == 4 and len({r.p_toxic for r in got if r.doc_id == 1}) == 1
+    assert got[0].rejected is True and all(r.rejected in (True, False) for r in got)  # a column of that name is replaced

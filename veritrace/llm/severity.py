@@ -159,7 +159,12 @@ def _evidence(sample: DataFrame, n: list[int]) -> list[tuple[str, float]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The model of the labelled rows; without labels of both kinds it finds nothing toxic."""
+    """The model of the labelled rows; without labels of both kinds it finds nothing toxic.
+
+    Null ids and labels are left out, an id with several labels is toxic if any says so, and labels
+    of absent ids count for nothing; equal texts count once. The driver gets the sample's counts of
+    at most FEATURES features a row: 2 * SAMPLE rows of a few kilobytes, some 40 MB, at any size.
+    """
     sample = _sample(docs, labels, id_col, text_col, label_col)
     size = {min(r["toxic"], 1): r["count"] for r in sample.groupBy("toxic").count().collect()}
     n = [size.get(0, 0), size.get(1, 0)]
@@ -203,7 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and p_toxic, expected_severity, grade (the likeliest number of thresholds passed) and rejected.
 
-    A null text is empty and clean. A column of docs that has one of these names is replaced.
+    A null or empty text is clean, whatever its label; texts are scored whole, however long; rows
+    that repeat, and texts that tie, get the same marks; an empty table gives no rows. A column of
+    docs that has one of these names is replaced.
     """
     added = ["p_toxic", "expected_severity", "grade", "rejected"]
     kept = [c for c in docs.columns if c not in added]
