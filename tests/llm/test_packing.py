@@ -52,6 +52,11 @@ def test_sequences(spark):
             assert offset == at
             at += length
         assert at <= 4096
+    whole = collections.Counter()
+    for r in packing.pack(df, FILE, with_ids=True).collect():
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        whole[r.sequence_id] += r.length
+    assert max(whole.values()) <= 4096 and sum(whole.values()) == sum(r.length for r in got)
     total = sum(r.length for r in got)
     assert len(sequences) <= -(-total // 4096) + 1
     assert packing.pack(df.limit(0), FILE).count() == 0

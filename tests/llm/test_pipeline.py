@@ -3,6 +3,7 @@ import collections
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_simhash import alike
 from tokenizers import Tokenizer
 
@@ -35,6 +36,7 @@ def test_stages(spark, tmp_path):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     lengths = collections.Counter(len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for r in steps[3].collect())
     assert sum(r.length for r in steps[4].collect()) == sum(n * k for n, k in lengths.items())
+    assert all(len(r.ids) == 4 * r.length for r in steps[4].collect())
     assert np.array_equal(sorted(map(tuple, corpus_pipeline.run(spark, DATA).select("doc_id", "start", "length", "ids_crc32").collect())), sorted(map(tuple, steps[4].select("doc_id", "start", "length", "ids_crc32").collect())))
 
 
@@ -45,3 +47,21 @@ def test_extra_columns_and_repeats(spark):
     one = corpus_pipeline.drop_near_copies(spark, kept, DATA)
     assert one.columns == docs.columns and one.count() == 2
     assert corpus_pipeline.mix_sources(spark, one, DATA).columns == docs.columns
+    packed = corpus_pipeline.pack_sequences(spark, docs.withColumn("length", F.lit(1)).withColumn("part", F.lit("p")).withColumn("ids", F.lit(2)), DATA).collect()
+    assert len(packed) == 3 and {r.doc_tokens for r in packed if r.doc_id == 2} == {1}
+
+
+def test_empty_tables_nulls_and_ties(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0
+    rows = [(1, None, None, None), (2, "", "s", "x"), (None, "some words here", "s", None), (None, None, None, None), (3, " \n", "t", "y"), (4, "word " * 30_000, "t", "y"), (5, "word " * 30_000, "t", "y")]
+    docs = spark.createDataFrame(rows, empty.schema)
+    kept = corpus_pipeline.drop_toxic(spark, docs, DATA)
+    assert kept.count() == len(rows)
+    one = corpus_pipeline.drop_near_copies(spark, kept, DATA)
+    assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "4", "None", "None"]
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {4, 5, None}
+    packed = corpus_pipeline.pack_sequences(spark, docs, DATA).collect()
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0) and sum(r.start == 0 for r in packed) == len(rows)

@@ -85,14 +85,14 @@ def _slots(patterns: list[tuple[int, dict[int, int]]], first_sequence: int = 0)
     return {x: np.asarray(rows, np.int64) for x, rows in out.items()}
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
-PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint"
-PACKED = pa.schema([*list(PIECES)[:5], ("sequence_id", pa.int64()), ("offset", pa.int64())])
-PACKED_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
+PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint, ids binary"
+PACKED = pa.schema([*list(PIECES)[:5], ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+PACKED_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of each row of docs, with the task that cut them and their number among its pieces of that length.
+def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """The pieces of each row of docs, with the task that cut them, their number among its pieces of that length and, if asked for, their ids.
 
     Staged in the shared folder: task and number are then fixed, whatever runs again later.
     """
@@ -112,7 +112,7 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 for start in range(0, n, window):
                     own = ids[4 * start : 4 * (start + window)]
                     k = len(own) // 4
-                    out.append((doc_id.as_py(), start, k, zlib.crc32(own), n, part, seen[k]))
+                    out.append((doc_id.as_py(), start, k, zlib.crc32(own), n, part, seen[k], bytes(own) if with_ids else None))
                     seen[k] += 1
             columns = zip(*out, strict=True) if out else ([] for _ in PIECES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECES.types, strict=True)], schema=PIECES)
@@ -121,14 +121,15 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     return staged(map_batches(narrow, rows, PIECES_DDL), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row a piece: its document, where it starts there, its length, the crc32 of its ids, the
-    document's tokens, its sequence and its offset in it.
+    document's tokens, its sequence, its offset in it and, with_ids, its ids, little-endian unsigned
+    32-bit integers (column ids): a sequence is its pieces' ids by offset.
 
     A null text is empty: its only id is end_id. Each row of docs is packed, repeated rows and null
     ids too; an empty table gives no rows. Columns of other names are ignored.
     """
-    pieces = cut(docs, tokenizer, id_col, text_col, window, end_id)
+    pieces = cut(docs, tokenizer, id_col, text_col, window, end_id, with_ids)
     # Task by length: the ranks that earlier tasks' pieces of that length take up. A row for each task and length.
     by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = staged(by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")), "pieces-before")
@@ -149,9 +150,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 window_no, copy = np.divmod(rank[own] - hit[:, 0], hit[:, 1])
                 sequence[own] = hit[:, 2] + window_no
                 offset[own] = hit[:, 3] + copy * x
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in PACKED.names[:5]), pa.array(sequence), pa.array(offset)], schema=PACKED)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in PACKED.names[:5]), pa.array(sequence), pa.array(offset), batch.column("ids")], schema=PACKED)
 
-    return map_batches(pieces.join(before.drop("n").hint("merge"), ["part", "length"]).select(*PIECES.names, "before"), rows, PACKED_DDL)
+    # The small table of ranks goes to all tasks if Spark finds it small: pieces with ids are better left where they are.
+    ranked = before.drop("n") if with_ids else before.drop("n").hint("merge")
+    packed = map_batches(pieces.join(ranked, ["part", "length"]).select(*PIECES.names, "before"), rows, PACKED_DDL)
+    return packed if with_ids else packed.drop("ids")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
