@@ -45,6 +45,28 @@ def test_nulls_empty_texts_and_long_lines(spark):
     assert rows[0].context == "x" * 40 + "<U+200B>" + "y" * 40
 
 
+def test_a_line_of_five_megabytes(spark):
+    # Signals all along one line: the pieces keep columns, neighbours and snippets right across their edges.
+    unit = "plain words héré and p\u0430ypal, a\u00a0b "
+    value = unit * (5_000_000 // len(unit)) + "z\u200by"
+    rows = text.scan_text(spark.createDataFrame([("t", value)], "target string, text string")).filter("evidence not like 'mixed%'").orderBy("ord").collect()
+    n = value.count("\u00a0")
+    assert [(r.evidence.split(" ×")[0], r.location) for r in rows] == [("U+00A0 NO-BREAK SPACE", f"line 1, col {value.index(chr(0xA0)) + 1}"), ("U+200B ZERO WIDTH SPACE", f"line 1, col {value.index(chr(0x200B)) + 1}")]
+    assert f"{n} occurrence(s)" in rows[0].note and f"+{n - 20} more" in rows[0].note
+    words = text.confusable_words(spark.createDataFrame([("t", value)], "target string, text string")).collect()
+    assert sorted(r.col for r in words) == [i + 1 for i, c in enumerate(value) if c == "\u0430"]
+
+
+def test_pieces_meet_at_any_edge(spark, monkeypatch):
+    monkeypatch.setattr(text, "PIECE", 45)
+    value = "аb\u200dcd \u200d\U0001f468 xyzzyаplughаb \u00ad\u00ad\u00a0 efghijklmnopq \u200b\nсоme\ufeff \u2060 zаz zаz" * 5
+    rows = [(f"{i}", value[i:]) for i in range(0, 60)]
+    df = spark.createDataFrame(rows, "target string, text string")
+    short = sorted(map(tuple, text.scan_text(df).collect()))
+    monkeypatch.setattr(text, "PIECE", 1 << 20)
+    assert short == sorted(map(tuple, text.scan_text(df).collect()))
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([("t", ZERO_WIDTH)], "target string, text string")
     done = removal.clean_texts(df, confirm=True)
