@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.expr import cut, explode_findings, finding, marker_note, markers, markers_of, metadata_value, none, xmp_findings
+from ..functions.expr import cut, finding, marker_note, markers, markers_of, metadata_value, none, xmp_findings
 from ..functions.shipping import ship
 from . import markup, routing, text
 
@@ -328,6 +328,7 @@ def zip_kind(data: bytes) -> str:
     return "epub" if "META-INF/container.xml" in names and any(n.endswith(".opf") for n in names) else "unknown-binary"
 
 
+TEXTUAL = ("text", "markdown", "html", "svg")
 DECODERS: dict[str, Callable[[bytes], Iterator[Record]]] = {
     "png": png_records, "jpeg": jpeg_records, "webp": webp_records, "gif": gif_records, "tiff": lambda d: tiff_records(d, "TIFF IFD0"),
     "svg": svg_records, "docx": docx_records, "odt": odt_records, "epub": epub_records,
@@ -346,21 +347,27 @@ def with_container(assets: DataFrame, content: str = "content") -> DataFrame:
     return assets.withColumn("container", routing.container(F.col(content), kinds(F.when(is_zip, F.col(content)))))
 
 
-def records(assets: DataFrame, content: str = "content") -> DataFrame:
-    """(target, container, nth, place, kind, name, value): what the decoders find in assets (target, container, content)."""
-    ship(assets.sparkSession)
-
+def decoded_records(container: Column, content: Column) -> Column:
+    """An asset's records, (place, kind, name, value) in order; none for containers without a decoder, whose bytes Python never sees."""
     @F.pandas_udf(RECORDS)
-    def decoded(container: pd.Series, data: pd.Series) -> pd.Series:
+    def decoded(kinds: pd.Series, data: pd.Series) -> pd.Series:
         def one(c, d):
+            if d is None:
+                return []
             try:
                 return [dict(zip(("place", "kind", "name", "value"), r, strict=True)) for r in DECODERS[c](bytes(d))]
             except (KeyError, zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError):
                 return []
 
-        return pd.Series([one(c, d) for c, d in zip(container, data, strict=True)])
+        return pd.Series([one(c, d) for c, d in zip(kinds, data, strict=True)])
 
-    own = assets.filter(F.col("container").isin(*DECODERS)).select("target", "container", F.posexplode(decoded(F.col("container"), F.col(content))).alias("nth", "r"))
+    return decoded(container, F.when(container.isin(*DECODERS), content))
+
+
+def records(assets: DataFrame, content: str = "content") -> DataFrame:
+    """(target, container, nth, place, kind, name, value): what the decoders find in assets (target, container, content)."""
+    ship(assets.sparkSession)
+    own = assets.filter(F.col("container").isin(*DECODERS)).select("target", "container", F.posexplode(decoded_records(F.col("container"), F.col(content))).alias("nth", "r"))
     return own.select("target", "container", "nth", "r.place", "r.kind", "r.name", "r.value")
 
 
@@ -407,23 +414,20 @@ def audit_assets(assets: DataFrame, most: int = rules.MAX_BYTES) -> tuple[DataFr
     Contents beyond most bytes are cut, which a note tells; a null content counts as empty.
     """
     content = F.coalesce("content", F.lit(b""))
-    cut_ = assets.select("target", F.substring(content, 1, most).alias("content"), (F.octet_length(content) > most).alias("cut"))
-    # Only ZIP files need Python to be told apart: the branches of all others never start a worker for it.
-    zipped = F.startswith(F.col("content"), F.lit(b"PK\x03\x04"))
-    own = cut_.filter(~zipped).withColumn("container", routing.container(F.col("content")))
-    zips = with_container(cut_.filter(zipped))
-    found = records(own.unionByName(zips))
-    found = found.withColumn("m", markers_of(F.col("value")))
-    found = found.select("target", "nth", F.posexplode(record_findings(F.col("name"), F.col("kind"), F.col("value"), F.col("place"), F.col("m"))).alias("k", "f"))
-    parts = [found.select("target", (F.col("nth").cast("long") * 100 + F.col("k")).alias("ord"), F.lit("container").alias("layer"), "f.*")]
-    textual = own.filter(F.col("container").isin("text", "markdown", "html", "svg")).select("target", "container", routing.decoded(F.col("content")).alias("text"))
-    parts.append(markup.parse_html(textual.filter("container = 'html'"), "target", "text").withColumn("layer", F.lit("container")))
-    parts.append(markup.parse_markdown(textual.filter("container = 'markdown'"), "target", "text").withColumn("layer", F.lit("container")))
-    pdf = own.filter("container = 'pdf'").select("target", F.decode(F.col("content"), "ISO-8859-1").alias("latin"))
-    parts.append(explode_findings(pdf, markup.pdf_findings(F.col("latin")), "target").withColumn("layer", F.lit("container")))
-    parts.append(text.scan_text(textual).withColumn("layer", F.lit("text")))
-    findings = parts[0]
-    for p in parts[1:]:
-        findings = findings.unionByName(p)
-    said = own.unionByName(zips).select("target", F.posexplode(F.array_compact(F.array(F.when(F.col("cut"), rules.NOTES["truncated"] % most), F.when(F.col("container") == "unknown-binary", rules.NOTES["unknown"]), F.when(F.col("container").isin("text", "markdown", "html", "svg"), rules.NOTES["statistical"])))).alias("ord", "note"))
+    own = with_container(assets.select("target", F.substring(content, 1, most).alias("content"), (F.octet_length(content) > most).alias("cut")))
+    kind, value = F.col("container"), F.col("value")
+    # One pass: records and what the text of a page, a Markdown file or a PDF tells are one list, taken apart once.
+    as_text = F.when(kind == "pdf", F.decode(F.col("content"), "ISO-8859-1")).when(kind.isin(*TEXTUAL), routing.decoded(F.col("content")))
+    read = text.once(own.select("target", "container", decoded_records(kind, F.col("content")).alias("records"), as_text.alias("as_text")), value=F.col("as_text")).drop("as_text")
+    none_yet = F.array().cast(markup.fields_type())
+    direct = F.when(kind == "html", markup.guarded_html(value)).when(kind == "markdown", markup.guarded_markdown(value)).when(kind == "pdf", markup.pdf_findings(value)).otherwise(none_yet)
+    no_record = F.lit(None).cast(RECORDS[6:-1])
+    entries = F.concat(F.transform("records", lambda r: F.struct(r.alias("r"), none().alias("f"))), F.transform(direct, lambda f: F.struct(no_record.alias("r"), f.alias("f"))))
+    found = read.select("target", F.posexplode(entries).alias("nth", "e")).select("target", "nth", "e.r.*", "e.f").withColumn("m", markers_of(F.col("value")))
+    told = F.when(F.col("f").isNotNull(), F.array("f")).otherwise(record_findings(F.col("name"), F.col("kind"), F.col("value"), F.col("place"), F.col("m")))
+    found = found.select("target", "nth", F.posexplode(told).alias("k", "f"))
+    found = found.select("target", (F.col("nth").cast("long") * 100 + F.col("k")).alias("ord"), F.lit("container").alias("layer"), "f.*")
+    textual = own.filter(kind.isin(*TEXTUAL)).select("target", routing.decoded(F.col("content")).alias("text"))
+    findings = found.unionByName(text.scan_text(textual).withColumn("layer", F.lit("text")))
+    said = own.select("target", F.posexplode(F.array_compact(F.array(F.when(F.col("cut"), rules.NOTES["truncated"] % most), F.when(kind == "unknown-binary", rules.NOTES["unknown"]), F.when(kind.isin(*TEXTUAL), rules.NOTES["statistical"])))).alias("ord", "note"))
     return findings, said.select("target", F.col("ord").cast("long").alias("ord"), "note")

@@ -64,11 +64,19 @@ def html_findings(html: Column) -> Column:
     return F.concat(tags, data, jsonld_findings(html))
 
 
+def _may_tell(html: Column) -> Column:
+    """A page without any of the three words has no finding."""
+    low = F.lower(html)
+    return F.contains(low, F.lit("generator")) | F.contains(low, F.lit("data-ai")) | F.contains(low, F.lit("ld+json"))
+
+
+def guarded_html(html: Column) -> Column:
+    """html_findings(), worked out only for pages that may have any."""
+    return F.when(_may_tell(html), html_findings(html)).otherwise(F.array().cast(fields_type()))
+
+
 def parse_html(df: DataFrame, target: str = "target", html: str = "html") -> DataFrame:
-    # A page without any of the three words has no finding.
-    low = F.lower(F.col(html))
-    some = F.contains(low, F.lit("generator")) | F.contains(low, F.lit("data-ai")) | F.contains(low, F.lit("ld+json"))
-    return explode_findings(df.filter(some).withColumn("target", F.col(target)), html_findings(F.col(html)), "target")
+    return explode_findings(df.filter(_may_tell(F.col(html))).withColumn("target", F.col(target)), html_findings(F.col(html)), "target")
 
 
 #: Line ends of Markdown: CRLF, or one of LF CR VT FF FS GS RS NEL LS PS.
@@ -95,9 +103,17 @@ def markdown_findings(text: Column) -> Column:
     return F.array_compact(F.transform(F.coalesce(frontmatter(text), F.array().cast("array<string>")), one))
 
 
+def _opened(text: Column) -> Column:
+    return text.rlike(r"(?U)^[\s\x1c-\x1f]*---")
+
+
+def guarded_markdown(text: Column) -> Column:
+    """markdown_findings(), worked out only for texts that begin like one."""
+    return F.when(_opened(text), markdown_findings(text)).otherwise(F.array().cast(fields_type()))
+
+
 def parse_markdown(df: DataFrame, target: str = "target", text: str = "text") -> DataFrame:
-    opened = F.col(text).rlike(r"(?U)^[\s\x1c-\x1f]*---")
-    return explode_findings(df.filter(opened).withColumn("target", F.col(target)), markdown_findings(F.col(text)), "target")
+    return explode_findings(df.filter(_opened(F.col(text))).withColumn("target", F.col(target)), markdown_findings(F.col(text)), "target")
 
 
 # Literal fields of a PDF's document information; possessive, as long values overflow the stack else.

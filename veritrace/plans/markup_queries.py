@@ -27,12 +27,12 @@ def ai_marker_hits(spark, sf_dir):
     return texts.select("source", "target", F.posexplode(markers_of(F.col("text"))).alias("nth", "marker"))
 
 
-VALUES_SQL = "vals AS (SELECT doc_id AS target, CASE doc_id % 4 WHEN 0 THEN 'made with ChatGPT ' || substr(text, 1, 200) WHEN 1 THEN '   ' WHEN 2 THEN substr(text, 1, 150) ELSE 'Stable Diffusion llms.txt' END AS v FROM documents)"
+VALUES_SQL = "vals AS (SELECT doc_id AS target, CASE doc_id % 4 WHEN 0 THEN 'made with ChatGPT ' || coalesce(text, '') WHEN 1 THEN '   ' WHEN 2 THEN coalesce(text, '') ELSE 'Stable Diffusion llms.txt' END AS v FROM documents)"
 
 
 def _values(spark, sf_dir):
-    k, t = F.pmod("doc_id", F.lit(4)), F.col("text")
-    v = F.when(k == 0, F.concat(F.lit("made with ChatGPT "), F.substring(t, 1, 200))).when(k == 1, "   ").when(k == 2, F.substring(t, 1, 150)).otherwise("Stable Diffusion llms.txt")
+    k, t = F.pmod("doc_id", F.lit(4)), F.coalesce("text", F.lit(""))
+    v = F.when(k == 0, F.concat(F.lit("made with ChatGPT "), t)).when(k == 1, "   ").when(k == 2, t).otherwise("Stable Diffusion llms.txt")
     return seeds.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target"), v.alias("v"))
 
 
@@ -42,16 +42,16 @@ def metadata_values(spark, sf_dir):
 
 
 def xmp_scan(spark, sf_dir):
-    v = F.concat(F.lit('<x:xmpmeta xmp:CreatorTool="'), F.substring("v", 1, 20), F.lit('" c2'), F.when(F.pmod("target", F.lit(3)) == 0, "pa:x").otherwise("q"), F.lit("/>"))
+    v = F.concat(F.lit('<x:xmpmeta xmp:CreatorTool="'), F.col("v"), F.lit('" c2'), F.when(F.pmod("target", F.lit(3)) == 0, "pa:x").otherwise("q"), F.lit("/>"))
     return explode_findings(_values(spark, sf_dir).withColumn("p", v), xmp_findings(F.col("p"), F.lit("packet")), "target").select("target", "severity", "category", "evidence", "context")
 
 
 _TOOL = "trim(regexp_extract(p, 'xmp:CreatorTool[\"''>\\s]*=?[\"''>]?\\s*([^<\"'']+)', 1), ' ' || chr(9) || chr(10) || chr(13))"
 XMP_SQL = f"""
-WITH {VALUES_SQL}, pk AS (SELECT target, '<x:xmpmeta xmp:CreatorTool="' || substr(v, 1, 20) || '" c2' || CASE WHEN target % 3 = 0 THEN 'pa:x' ELSE 'q' END || '/>' AS p FROM vals),
+WITH {VALUES_SQL}, pk AS (SELECT target, '<x:xmpmeta xmp:CreatorTool="' || v || '" c2' || CASE WHEN target % 3 = 0 THEN 'pa:x' ELSE 'q' END || '/>' AS p FROM vals),
 tl AS (SELECT *, {_TOOL} AS tool FROM pk)
 SELECT target, 'medium' AS severity, 'c2pa-manifest' AS category, 'XMP packet names the C2PA namespace' AS evidence, '' AS context FROM pk WHERE contains(p, 'c2pa:')
-UNION ALL SELECT target, CASE WHEN len({_hits('tool')}) > 0 THEN 'medium' ELSE 'informational' END, CASE WHEN len({_hits('tool')}) > 0 THEN 'ai-metadata' ELSE 'generator-meta' END, 'xmp:CreatorTool=' || tool, '' FROM tl WHERE tool <> ''
+UNION ALL SELECT target, CASE WHEN len({_hits('tool')}) > 0 THEN 'medium' ELSE 'informational' END, CASE WHEN len({_hits('tool')}) > 0 THEN 'ai-metadata' ELSE 'generator-meta' END, 'xmp:CreatorTool=' || CASE WHEN length(tool) > 160 THEN substr(tool, 1, 157) || '...' ELSE tool END, '' FROM tl WHERE tool <> ''
 UNION ALL SELECT target, 'medium', 'ai-metadata', 'XMP packet has AI markers', substr(p, 1, 160) FROM pk WHERE len({_hits('p')}) > 0"""
 
 
@@ -85,13 +85,25 @@ def frontmatter_findings(spark, sf_dir):
     return markup.parse_markdown(seeds.documents(spark, sf_dir)).select("target", "location", "evidence", "note")
 
 
-_PDF = "'%PDF-1.4 /Producer (Acme \\\\(x\\\\) ' || substr(v, 1, 12) || ') /Title (' || target || ') obj /Filter /FlateDecode stream' || chr(10) || 'openai packed endstream ' || CASE WHEN target % 2 = 0 THEN 'Midjourney' ELSE 'none' END || ' %%EOF' || CASE WHEN target % 3 = 0 THEN ' %%EOF' ELSE '' END"
+_LATIN = "regexp_replace(v, '[^\\x{1}-\\x{FF}]', '?', 'g')"
+#: A literal string's text escaped, and what the decoder's steps, one mark after the other, make of it.
+_ESCAPED = "replace(replace(replace(v, chr(92), chr(92) || chr(92)), '(', chr(92) || '('), ')', chr(92) || ')')"
+_READ = "replace(replace(replace(replace(replace(replace(e, chr(92) || 'n', chr(10)), chr(92) || 'r', chr(13)), chr(92) || 't', chr(9)), chr(92) || '(', '('), chr(92) || ')', ')'), chr(92) || chr(92), chr(92))"
+
+
+def pdf_escaped(value):
+    """A text as the inside of a PDF's literal string."""
+    for mark in ("\\", "(", ")"):
+        value = F.replace(value, F.lit(mark), F.lit("\\" + mark))
+    return value
 
 
 def _pdfs(spark, sf_dir):
+    """(target, latin): a PDF of each value, all of it; characters beyond Latin-1 are question marks."""
     t = F.col("target").cast("string")
-    p = F.concat(F.lit("%PDF-1.4 /Producer (Acme \\(x\\) "), F.substring("v", 1, 12), F.lit(") /Title ("), t, F.lit(") obj /Filter /FlateDecode stream\nopenai packed endstream "), F.when(F.pmod("target", F.lit(2)) == 0, "Midjourney").otherwise("none"), F.lit(" %%EOF"), F.when(F.pmod("target", F.lit(3)) == 0, " %%EOF").otherwise(""))
-    return _values(spark, sf_dir).filter(~F.substring("v", 1, 12).rlike(r"[()\\]")).select("target", p.alias("latin"))
+    v = pdf_escaped(F.regexp_replace("v", "[^\\x00-\\xff]", "?"))
+    p = F.concat(F.lit("%PDF-1.4 /Producer (Acme \\(x\\) "), v, F.lit(") /Title ("), t, F.lit(") obj /Filter /FlateDecode stream\nopenai packed endstream "), F.when(F.pmod("target", F.lit(2)) == 0, "Midjourney").otherwise("none"), F.lit(" %%EOF"), F.when(F.pmod("target", F.lit(3)) == 0, " %%EOF").otherwise(""))
+    return _values(spark, sf_dir).select("target", p.alias("latin"))
 
 
 def pdf_info_fields(spark, sf_dir):
@@ -104,10 +116,7 @@ def pdf_marker_scan(spark, sf_dir):
 
 def pdf_string(text):
     """A text as a PDF's literal string, its UTF-8 bytes as characters."""
-    out = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-    for mark in ("\\", "(", ")"):
-        out = F.replace(out, F.lit(mark), F.lit("\\" + mark))
-    return out
+    return pdf_escaped(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
 
 
 def whole_pdfs(docs):
@@ -157,8 +166,8 @@ QUERIES = {
 }
 
 _GEN = "gens AS (SELECT target, coalesce(nullif(regexp_extract(tag, '(?i)content\\s*=\\s*\"([^\"]*)\"', 1), ''), regexp_extract(tag, '(?i)content\\s*=\\s*''([^'']*)''', 1)) AS c FROM (SELECT target, unnest(regexp_extract_all(html, '(?i)<meta\\b[^>]*>')) AS tag FROM pgs) WHERE regexp_matches(tag, '(?i)name\\s*=\\s*[\"'']generator[\"'']'))"
-_PDF_ROWS = f"pdfs AS (SELECT target, substr(v, 1, 12) AS v, {_PDF} AS p FROM vals WHERE NOT regexp_matches(substr(v, 1, 12), '[()\\\\]'))"
-_PDF_FIELDS = "SELECT target, 0 AS k, '/Producer' AS field, trim('Acme (x) ' || v, ' ' || chr(9) || chr(10) || chr(13)) AS value FROM pdfs UNION ALL SELECT target, 1, '/Title', CAST(target AS VARCHAR) FROM pdfs"
+_PDF_ROWS = f"pdfs AS (SELECT target, v, {_READ} AS r FROM (SELECT target, v, {_ESCAPED} AS e FROM (SELECT target, {_LATIN} AS v FROM vals)))"
+_PDF_FIELDS = "SELECT target, 0 AS k, '/Producer' AS field, trim('Acme (x) ' || r, ' ' || chr(9) || chr(10) || chr(13)) AS value FROM pdfs UNION ALL SELECT target, 1, '/Title', CAST(target AS VARCHAR) FROM pdfs"
 _PDF_MARKS = "list_filter(" + _MARKERS + ", lambda m: contains(lower(v || CASE WHEN target % 2 = 0 THEN ' midjourney' ELSE '' END), m))"
 ORACLE_SQL = {
     "ai_marker_hits": f"""WITH {seeds.DOCUMENTS_SQL}, {seeds.PAGES_SQL}, alls AS (SELECT 'documents' AS source, target, text FROM docs UNION ALL SELECT 'pages', target, html FROM pgs),

@@ -117,7 +117,7 @@ def _replies(spark, sf_dir):
     rows = seeds.table(spark, sf_dir, "conversations")
     k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(REPLIES)))
     said = F.element_at(F.array(*(F.lit(r) for r in REPLIES)), (k + 1).cast("int"))
-    return rows.select("conv_id", "turn", k.alias("k"), F.concat(F.substring(F.replace("text", F.lit('"'), F.lit("")), 1, 30), F.lit(". "), said).alias("reply"))
+    return rows.select("conv_id", "turn", k.alias("k"), F.concat(F.coalesce("text", F.lit("")), F.lit(". "), said).alias("reply"))
 
 
 def verdict_text(spark, sf_dir):

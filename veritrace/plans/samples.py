@@ -6,7 +6,7 @@ import io
 import struct
 import zipfile
 import zlib
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 
 def png_chunk(kind: bytes, body: bytes) -> bytes:
@@ -84,17 +84,27 @@ def epub(creator: str, page: str = "<html/>") -> bytes:
 
 
 def svg(title: str, generator: str = "") -> bytes:
-    return f'<svg xmlns="http://www.w3.org/2000/svg" generator="{escape(generator)}"><title>{escape(title)}</title></svg>'.encode()
+    return f'<svg xmlns="http://www.w3.org/2000/svg" generator={quoteattr(generator)}><title>{escape(title)}</title></svg>'.encode()
 
 
 def pdf(producer: str) -> bytes:
+    for mark in "\\()":
+        producer = producer.replace(mark, "\\" + mark)
     return f"%PDF-1.4\n1 0 obj << /Producer ({producer}) >>\n%%EOF".encode("latin-1", "replace")
 
 
+#: Characters of a text in one segment of a JPEG file, which holds 65,533 bytes; a longer text goes into several.
+COMMENT_CHARS = 16_000
+
+
+def comments(text: str) -> list[tuple[int, bytes]]:
+    return [(0xFE, text[a : a + COMMENT_CHARS].encode()) for a in range(0, max(1, len(text)), COMMENT_CHARS)]
+
+
 #: One field of each container, by name and by the finding's location and field.
 ONE_FIELD = {
     "png": lambda v: png((b"tEXt", b"Software\0" + v.encode("latin-1", "replace"))),
-    "jpeg": lambda v: jpeg((0xFE, v.encode())),
+    "jpeg": lambda v: jpeg(*comments(v)),
     "webp": lambda v: webp((b"EXIF", tiff({0x0131: v.encode()}))),
     "gif": lambda v: gif((0xFE, b"", v.encode())),
     "tiff": lambda v: tiff({0x0131: v.encode()}, ">", True),
@@ -103,6 +113,7 @@ ONE_FIELD = {
     "odt": odt,
     "epub": epub,
     "pdf": pdf,
+    "unknown-binary": lambda v: b"\0\1\2" + v.encode(),
 }
 EVIDENCE = {
     "png": ("PNG chunk 'tEXt' (#1)", "Software"),
