@@ -87,6 +87,7 @@ NOTES = {
     "statistical": "Statistical watermarks in the choice of words need the vendor's key; that none is listed proves nothing.",
     "truncated": "Only the first %d bytes were read.",
     "binary": "The input looks binary; it was scanned as text.",
+    "self-check": "No audit was run: the report is empty on purpose.",
     "unknown": "Unknown binary format: no metadata was read.",
     "cms": "tag of a content management system, not a sign of AI",
     "plain": "a metadata field without AI markers",

@@ -2,10 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.shipping import ship
+
+PROBE = "rc int, stdout string, stderr string, failed string"
+TOOL, TIMEOUT = "c2patool", 30
+
+
+def run_tool(content: bytes) -> tuple[int, str, str]:
+    """(exit code, stdout, stderr) of the tool on a file with these bytes; FileNotFoundError if this machine has none."""
+    import shutil
+    import subprocess
+    import tempfile
+
+    if not (tool := shutil.which(TOOL)):
+        raise FileNotFoundError(TOOL)
+    with tempfile.NamedTemporaryFile() as f:  # the tool reads files alone; it is gone with the call
+        f.write(content)
+        f.flush()
+        done = subprocess.run([tool, f.name], capture_output=True, text=True, timeout=TIMEOUT, check=False)
+    return done.returncode, done.stdout, done.stderr
+
+
+def probe(assets: DataFrame, run: Callable[[bytes], tuple[int, str, str]] = run_tool) -> DataFrame:
+    """(target, rc, stdout, stderr, failed): what run says of each asset (target, content), on the executors.
+
+    An asset whose machine has no tool has no row; any other failure is told in failed.
+    """
+    ship(assets.sparkSession)
+
+    def rows(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for target, content in zip(batch["target"], batch["content"], strict=True):
+                try:
+                    out.append((target, *run(bytes(content)), None))
+                except FileNotFoundError:
+                    continue
+                except Exception as e:  # noqa: BLE001  a tool may fail in any way
+                    out.append((target, None, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["target", "rc", "stdout", "stderr", "failed"]).astype({"rc": "Int32"})
+
+    own = assets.select("target", "content")
+    return own.mapInPandas(rows, f"target {own.schema['target'].dataType.simpleString()}, {PROBE}")
 
 
 def _outcomes(findings: DataFrame, probes: DataFrame) -> DataFrame:

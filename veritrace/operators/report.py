@@ -100,6 +100,13 @@ def reports(targets: DataFrame, findings: DataFrame, notes: DataFrame | None = N
     return out.select("target", F.struct(F.lit("veritrace").alias("tool"), F.lit(__version__).alias("version"), F.col("target").cast("string").alias("target"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), summary.alias("summary"), plain.alias("findings"), F.col("verdicts"), caveats.alias("caveats")).alias("report"))
 
 
+def self_check(spark, target: str = "none") -> DataFrame:
+    """(target, report): an empty report under a note that no audit was run, to try the sinks with."""
+    targets = spark.createDataFrame([(target,)], "target string")
+    findings = spark.createDataFrame([], "target string, ord bigint, " + ", ".join(f"{c} string" for c in FINDING))
+    return reports(targets, findings, targets.select("target", F.lit(0).cast("long").alias("ord"), F.lit(rules.NOTES["self-check"]).alias("note")))
+
+
 def json_reports(reported: DataFrame) -> DataFrame:
     """(target, json); verdicts and caveats are there only if there are verdicts."""
     return reported.select("target", F.to_json("report").alias("json"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.expr import strip
+from ..functions.shipping import ship
 from . import markup, text
 
 AGENT = "veritrace"
@@ -156,16 +157,41 @@ def page_findings(pages: DataFrame, target: str = "target", html: str = "html")
 LINK = r"""(?i)(?:src|href)\s*=\s*["']([^"']+)["']"""
 
 
-def asset_urls(pages: DataFrame, target: str = "target", url: str = "url", html: str = "html") -> DataFrame:
-    """(target, ord, asset): same-host links of pages to files of a known extension.
+#: Links that need all of RFC 3986: dot segments, queries or fragments alone, other schemes, white space.
+_HARD = r"(^|/)\.{1,2}(/|$|[?#])|^[?#;]|^(?!(?i:https?:))[A-Za-z][A-Za-z0-9+.-]*:|^(?i:https?:)(?!//)|\s"
 
-    Absolute and root-relative links are resolved here; other relative ones by resolve().
-    """
+
+def joined(page: Column, link: Column) -> Column:
+    """A link as its page means it; null if that is malformed."""
+    @F.pandas_udf("string")
+    def resolved(pages: pd.Series, links: pd.Series) -> pd.Series:
+        from urllib.parse import urljoin
+
+        def one(base, url):
+            try:
+                return None if url is None else urljoin(base, url)
+            except ValueError:
+                return None
+
+        return pd.Series([one(b, u) for b, u in zip(pages, links, strict=True)], dtype=object)
+
+    hard = link.rlike(_HARD)
+    scheme, base = F.try_parse_url(page, F.lit("PROTOCOL")), F.concat(F.try_parse_url(page, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(page, F.lit("AUTHORITY")))
+    folder = F.regexp_replace(F.concat(base, F.coalesce(F.nullif(path_of(page), F.lit("")), F.lit("/"))), "[^/]*$", "")
+    plain = F.when(link.rlike("(?i)^https?://"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(base, link)).otherwise(F.concat(folder, link))
+    # Python sees the few links that need it, and nulls.
+    return F.coalesce(resolved(page, F.when(hard, link)), F.when(~hard, plain))
+
+
+def asset_urls(pages: DataFrame, target: str = "target", url: str = "url", html: str = "html") -> DataFrame:
+    """(target, ord, asset): same-host links of pages to files of a known extension, resolved against their page."""
+    ship(pages.sparkSession)
     links = pages.select(F.col(target).alias("target"), F.col(url).alias("page"), F.posexplode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("ord", "link"))
-    base = F.concat(F.try_parse_url("page", F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url("page", F.lit("AUTHORITY")))
-    full = F.when(F.col("link").rlike("(?i)^https?://"), F.col("link")).when(F.startswith("link", F.lit("//")), F.concat(F.try_parse_url("page", F.lit("PROTOCOL")), F.lit(":"), F.col("link"))).when(F.startswith("link", F.lit("/")), F.concat(base, F.col("link"))).otherwise(F.concat(F.regexp_replace(F.concat(base, path_of(F.col("page"))), "[^/]*$", ""), F.col("link")))
     known = F.lower(path_of(F.col("asset"))).rlike(r"\.(" + "|".join(rules.ASSET_EXTENSIONS) + ")$")
-    return links.select("target", "page", F.col("ord").cast("long").alias("ord"), full.alias("asset")).filter((host_of(F.col("asset")) == host_of(F.col("page"))) & known).select("target", "ord", "asset")
+    # Links that cannot end in a known extension are let go before Python sees any.
+    links = links.filter(F.lower("link").rlike(r"\.(" + "|".join(rules.ASSET_EXTENSIONS) + ")|^[?#;]"))
+    full = links.select("target", "page", F.col("ord").cast("long").alias("ord"), joined(F.col("page"), F.col("link")).alias("asset"))
+    return full.filter((host_of(F.col("asset")) == host_of(F.col("page"))) & known).select("target", "ord", "asset")
 
 
 def first_assets(assets: DataFrame, max_assets: int = MAX_ASSETS) -> DataFrame:

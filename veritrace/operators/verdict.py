@@ -117,6 +117,97 @@ def ask(df: DataFrame, detector: str, send: Callable[[str], tuple[bool, bool | N
     return own.mapInPandas(rows, f"target {own.schema['target'].dataType.simpleString()}, {VERDICT}")
 
 
+# The public API that answers for a vendor's detector.
+GENERATE_URL = "https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent"
+TASK = "DETECT_TEXT_WATERMARK"
+
+
+def post_json(url: str, body: bytes, headers: dict[str, str], timeout: float) -> str:
+    """The reply to a POST of JSON."""
+    import urllib.request
+
+    ask_ = urllib.request.Request(url, data=body, headers={"Content-Type": "application/json", **headers}, method="POST")
+    with urllib.request.urlopen(ask_, timeout=timeout) as reply:
+        return reply.read().decode("utf-8", "replace")
+
+
+def http_replies(df: DataFrame, model: str, key_of: Callable[[], str | None], authorized: bool = False, post: Callable[[str, bytes, dict[str, str], float], str] = post_json, timeout: float = 30.0, target: str = "target", text: str = "text") -> DataFrame:
+    """(target, reply, error): the detector's JSON reply to each text, or why there is none. Texts leave the cluster, so authorized must be True.
+
+    key_of gives the key on the executor (from its environment, say): it is no part of the plan and
+    goes into a header, never the URL.
+    """
+    import json
+    import re
+
+    if not authorized:
+        raise PermissionError("sending texts to a vendor needs authorized=True")
+    if not re.fullmatch(MODEL_NAME, model):
+        raise ValueError(f"malformed model name: {model!r}")
+    ship(df.sparkSession)
+
+    def rows(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for key, value in zip(batch["target"], batch["text"], strict=True):
+                try:
+                    secret = key_of()
+                    if not secret:
+                        raise ValueError("no key is configured")
+                    body = {"contents": [{"role": "user", "parts": [{"text": value}]}], "generationConfig": {"taskType": TASK}}
+                    out.append((key, post(GENERATE_URL.format(model=model), json.dumps(body).encode(), {"x-goog-api-key": secret}, timeout), None))
+                except Exception as e:  # noqa: BLE001  whatever fails, there is no reply
+                    out.append((key, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["target", "reply", "error"])
+
+    own = df.select(F.col(target).alias("target"), F.col(text).alias("text"))
+    return own.mapInPandas(rows, f"target {own.schema['target'].dataType.simpleString()}, reply string, error string")
+
+
+def http_verdicts(replies: DataFrame, detector: str = "gemini-synthid-text", scope_note: str = "") -> DataFrame:
+    """(target, verdict columns) of http_replies(): a failure is an unavailable verdict, never a guess."""
+    v = F.when(F.col("error").isNotNull(), F.struct(F.lit(False).alias("available"), F.lit(None).cast("boolean").alias("is_watermarked"), F.lit(None).cast("double").alias("score"), F.col("error").alias("error"))).otherwise(parse_reply(F.col("reply")))
+    return replies.select("target", v.alias("v")).select("target", F.lit(detector).alias("detector"), "v.available", "v.is_watermarked", "v.score", F.lit(None).cast("double").alias("threshold"), F.lit(scope_note).alias("scope_note"), "v.error")
+
+
+def run_command(command: list[str], text: str, timeout: float) -> tuple[int, str, str]:
+    """(exit code, stdout, stderr) of a local adapter on a file that holds the text, its last argument."""
+    import subprocess
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".txt", encoding="utf-8") as f:
+        f.write(text)
+        f.flush()
+        done = subprocess.run([*command, f.name], capture_output=True, text=True, timeout=timeout, check=False)
+    return done.returncode, done.stdout, done.stderr
+
+
+def adapter_verdicts(df: DataFrame, detector: str, command: list[str], run: Callable[[list[str], str, float], tuple[int, str, str]] = run_command, timeout: float = 30.0, scope_note: str = "", target: str = "target", text: str = "text") -> DataFrame:
+    """(target, verdict columns): what a local adapter, started once a text on the executors, prints; every failure is an unavailable verdict."""
+    if detector not in rules.DETECTORS:
+        raise ValueError(f"unknown detector: {detector}")
+    ship(df.sparkSession)
+
+    def rows(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for key, value in zip(batch["target"], batch["text"], strict=True):
+                try:
+                    out.append((key, *run(command, value, timeout), None))
+                except Exception as e:  # noqa: BLE001  an adapter may fail in any way; that is its verdict
+                    out.append((key, None, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["target", "rc", "stdout", "stderr", "failed"]).astype({"rc": "Int32"})
+
+    own = df.select(F.col(target).alias("target"), F.col(text).alias("text"))
+    said = own.mapInPandas(rows, f"target {own.schema['target'].dataType.simpleString()}, rc int, stdout string, stderr string, failed string")
+    v = F.when(F.col("failed").isNotNull(), F.struct(F.lit(False).alias("available"), F.lit(None).cast("boolean").alias("is_watermarked"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"), F.col("failed").alias("error"))).otherwise(parse_adapter(F.col("rc"), F.col("stdout"), F.col("stderr")))
+    return said.select("target", v.alias("v")).select("target", F.lit(detector).alias("detector"), "v.available", "v.is_watermarked", "v.score", "v.threshold", F.lit(scope_note).alias("scope_note"), "v.error")
+
+
 def run_detectors(df: DataFrame, senders: dict[str, Callable], target: str = "target", text: str = "text") -> DataFrame:
     """Verdicts of several detectors, in the vocabulary's order."""
     out = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import markup, report, site
+from ..operators import audits, markup, report, site
 from . import seeds
 from .text_queries import FINDINGS_SQL
 
@@ -96,6 +96,32 @@ def asset_order(spark, sf_dir):
     return site.first_assets(seen, max_assets=2).select("site", "asset", "nth", "fetched")
 
 
+def _offline(spark, sf_dir):
+    """(site, url) of the hosts, and a fetch that answers from the pages table: robots rules, a sitemap a host, its pages."""
+    pages = seeds.pages(spark, sf_dir).groupBy("url").agg(F.min("target").alias("page"), F.min_by("html", "target").alias("html"))
+    pages = pages.select(site.host_of(F.col("url")).alias("site"), "url", "page", "html")
+    base = F.concat(F.lit("https://"), F.col("site"))
+    loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    maps = pages.groupBy("site").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", loc.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    k = F.pmod("page", F.lit(10))
+    web = pages.select("url", F.when(k == 3, "timeout").when(k == 7, "error").otherwise("ok").alias("outcome"), "html")
+    web = web.unionByName(maps.select(F.concat(base, F.lit("/sitemap.xml")).alias("url"), F.lit("ok").alias("outcome"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("html")))
+    web = web.unionByName(maps.select(F.concat(base, F.lit("/robots.txt")).alias("url"), F.lit("ok").alias("outcome"), F.lit(ROBOTS).alias("html")))
+
+    def fetch(urls):
+        return urls.join(web, "url", "left").select("url", F.coalesce("outcome", F.lit("error")).alias("outcome"), F.when(F.col("outcome") == "ok", F.encode("html", "UTF-8")).alias("body"), F.lit("").alias("note"))
+
+    return maps.select("site", base.alias("url")), fetch
+
+
+def site_audit(spark, sf_dir):
+    """Every host's whole audit: coverage and findings of the pages below the cap."""
+    sites, fetch = _offline(spark, sf_dir)
+    got = audits.audit_sites(sites, authorized=True, fetch=fetch, max_pages=2)
+    counts = report.severity_counts(got.whole.findings, "target").select(F.col("target").alias("site"), "high", F.col("total").alias("findings"))
+    return got.coverage.join(counts, "site", "left").fillna(0, ["high", "findings"])
+
+
 _VISIBLE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 for _mark, _char in markup.ENTITIES:
     _VISIBLE = f"replace({_VISIBLE}, '{_mark.replace(chr(39), chr(39) * 2)}', chr({ord(_char)}))"
@@ -110,7 +136,7 @@ def _scanned(text: str, layer: str, lead: str) -> str:
 PAGES_FINDINGS_SQL = f"{seeds.PAGES_SQL}, pf AS ({_GENS} UNION ALL SELECT * FROM {_scanned('html', 'source', 'source')} UNION ALL SELECT * FROM {_scanned(_VISIBLE, 'visible', 'visible text')})"
 _LINKS = f"{seeds.PAGES_SQL}, ln AS (SELECT target, url, unnest(regexp_extract_all(html, '(?i)(?:src|href)\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS l, generate_subscripts(regexp_extract_all(html, '(?i)(?:src|href)\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), 1) AS o FROM pgs), fl AS (SELECT target, o, {_HOST} AS site, CASE WHEN regexp_matches(l, '(?i)^https?://') THEN l WHEN l[1] = '/' THEN regexp_extract(url, '^[a-z]+://[^/]*') || l ELSE regexp_replace(url, '[^/]*$', '') || l END AS asset FROM ln), ok AS (SELECT * FROM fl WHERE regexp_matches(asset, '(?i)^[^?#]*\\.(png|jpg|jpeg|webp|gif|tif|tiff|svg|pdf|docx|epub)([?#]|$)') AND lower(regexp_extract(asset, '^[a-zA-Z]+://([^/:?#]*)', 1)) = site)"
 
-QUERIES = {f.__name__: f for f in (robots_rules, robots_filter, crawl_status, crawl_coverage, sitemap_expand, visible_text, page_findings, page_rank, site_rollup, asset_urls, asset_order)}
+QUERIES = {f.__name__: f for f in (robots_rules, robots_filter, crawl_status, crawl_coverage, sitemap_expand, visible_text, page_findings, page_rank, site_rollup, asset_urls, asset_order, site_audit)}
 ORACLE_SQL = {
     "robots_rules": f"SELECT site, unnest(['/a', '/b', '/c']) AS rule FROM (SELECT DISTINCT {_HOST} AS site FROM pages)",
     "robots_filter": f"SELECT {_HOST} AS site, url FROM pages WHERE NOT (starts_with({_PATH}, '/a') OR starts_with({_PATH}, '/b') OR starts_with({_PATH}, '/c'))",
@@ -125,4 +151,8 @@ SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY p % 2 DESC, p) A
     "site_rollup": f"WITH {PAGES_FINDINGS_SQL} SELECT 'site' AS target, CAST(target AS VARCHAR) AS location, severity, 'at ' || location || CASE WHEN note <> '' THEN '. ' || note ELSE '' END AS note FROM pf",
     "asset_urls": f"WITH {_LINKS} SELECT target, asset FROM ok",
     "asset_order": f"WITH {_LINKS}, f AS (SELECT site, asset, min(target * 100000 + o) AS seen FROM ok GROUP BY ALL), n AS (SELECT site, asset, CAST(row_number() OVER (PARTITION BY site ORDER BY seen, asset) AS INTEGER) AS nth FROM f) SELECT site, asset, nth, nth <= 2 AS fetched FROM n",
+    "site_audit": f"""WITH {PAGES_FINDINGS_SQL}, {CRAWL_SQL.replace("FROM pages)", "FROM (SELECT url, min(target) AS page_id FROM pgs GROUP BY url))")},
+n AS (SELECT url, count(pf.severity) AS n, count(*) FILTER (pf.severity = 'high') AS high FROM (SELECT url, min(target) AS target FROM pgs GROUP BY url) p LEFT JOIN pf USING (target) GROUP BY url)
+SELECT site, count(*) AS discovered, count(*) FILTER (status = 'audited') AS audited, count(*) FILTER (status = 'capped') AS capped, count(*) FILTER (status = 'timeout') AS timeouts, count(*) FILTER (status = 'skipped') AS skipped,
+CAST(coalesce(sum(high) FILTER (status = 'audited'), 0) AS BIGINT) AS high, CAST(coalesce(sum(n) FILTER (status = 'audited'), 0) AS BIGINT) AS findings FROM st JOIN n USING (url) GROUP BY site""",
 }
