@@ -87,8 +87,8 @@ def _slots(patterns: list[tuple[int, dict[int, int]]], first_sequence: int = 0)
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
 PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint, ids binary"
-PACKED = pa.schema([*list(PIECES)[:5], ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-PACKED_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+#: Units that each of the encoder's two tables keeps: packing runs beside other stages' memory.
+UNITS, NEW_UNITS = 150_000, 75_000
 
 
 def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -103,7 +103,7 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     end = np.asarray([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (window + 1)
+        enc, part, seen = encoder(tokenizer, UNITS, NEW_UNITS), TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -137,25 +137,24 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     patterns = plan(counts, window)
     slots = _slots(patterns)  # a bounded number of rows for each length: patterns follow the lengths, not the pieces
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("before").to_numpy() + batch.column("nth").to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            order = np.argsort(length, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
-                x = int(length[own[0]])
-                table_ = slots[x]
-                hit = table_[np.searchsorted(table_[:, 0], rank[own], side="right") - 1]
-                window_no, copy = np.divmod(rank[own] - hit[:, 0], hit[:, 1])
-                sequence[own] = hit[:, 2] + window_no
-                offset[own] = hit[:, 3] + copy * x
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in PACKED.names[:5]), pa.array(sequence), pa.array(offset), batch.column("ids")], schema=PACKED)
+    @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
+    def placed(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        length, rank = lengths.to_numpy(), ranks.to_numpy()
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        order = np.argsort(length, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+            x = int(length[own[0]])
+            table_ = slots[x]
+            hit = table_[np.searchsorted(table_[:, 0], rank[own], side="right") - 1]
+            window_no, copy = np.divmod(rank[own] - hit[:, 0], hit[:, 1])
+            sequence[own] = hit[:, 2] + window_no
+            offset[own] = hit[:, 3] + copy * x
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
 
     # The small table of ranks goes to all tasks if Spark finds it small: pieces with ids are better left where they are.
     ranked = before.drop("n") if with_ids else before.drop("n").hint("merge")
-    packed = map_batches(pieces.join(ranked, ["part", "length"]).select(*PIECES.names, "before"), rows, PACKED_DDL)
-    return packed if with_ids else packed.drop("ids")
+    found = pieces.join(ranked, ["part", "length"]).withColumn("at", placed("length", F.col("before") + F.col("nth")))
+    return found.select(*PIECES.names[:5], "at.sequence_id", "at.offset", *(["ids"] if with_ids else []))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,8 @@ def _letters_of_bytes() -> str:
 class _Table(dict):
     """Ids by unit: a unit stays for good once it comes up again while it is among the new ones."""
 
-    def __init__(self, made: Callable[[str], bytes]):
-        self.made, self.new, self.dropped = made, {}, 0
+    def __init__(self, made: Callable[[str], bytes], units: int, new_units: int):
+        self.made, self.units, self.new_units, self.new, self.dropped = made, units, new_units, {}, 0
 
     def __missing__(self, unit: str) -> bytes:
         new = self.new
@@ -53,14 +53,14 @@ class _Table(dict):
         if ids is None:
             ids = self.made(unit)
             if len(unit) <= TABLE_UNIT_CHARS:
-                if len(new) >= NEW_UNITS:
+                if len(new) >= self.new_units:
                     new.clear()
-                    self.dropped += len(self) >= TABLE_UNITS
+                    self.dropped += len(self) >= self.units
                     if self.dropped > STALE:
                         self.clear()
                         self.dropped = 0
                 new[unit] = ids
-        elif len(self) < TABLE_UNITS:
+        elif len(self) < self.units:
             self[unit] = new.pop(unit)
         return ids
 
@@ -68,7 +68,7 @@ class _Table(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, units: int = TABLE_UNITS, new_units: int = NEW_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,7 +84,7 @@ class Encoder:
         if any(t[flag] for t in parts["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens are matched as they stand; this file asks for more")
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
-        self.table = _Table(self._unit)
+        self.table = _Table(self._unit, units, new_units)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, four bytes each."""
@@ -116,8 +116,9 @@ def slices(text: str) -> Iterator[str]:
         yield text[at:] if at else text
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
+def encoder(path: str, units: int = TABLE_UNITS, new_units: int = NEW_UNITS) -> Encoder:
+    """This worker's encoder for a tokenizer file; it holds one at a time."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders.clear()
+        _encoders[path] = Encoder(path, units, new_units)
     return _encoders[path]
