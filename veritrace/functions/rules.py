@@ -86,6 +86,7 @@ NOTES = {
     "confusable": "a word of Latin and look-alike letters; may be notation or a loanword",
     "statistical": "Statistical watermarks in the choice of words need the vendor's key; that none is listed proves nothing.",
     "truncated": "Only the first %d bytes were read.",
+    "inflated": "Compressed parts were read to %d bytes each.",
     "binary": "The input looks binary; it was scanned as text.",
     "self-check": "No audit was run: the report is empty on purpose.",
     "unknown": "Unknown binary format: no metadata was read.",

@@ -2,7 +2,8 @@
 
 Decoding is all that needs Python: one pass over Arrow batches yields for each asset an array of
 records (place, kind, name, value); what a record means is decided by column expressions after it.
-Inflated data are cut at INFLATE_CAP, so a small chunk cannot fill a worker's memory.
+Inflated data are read to INFLATE_CAP, so a small chunk cannot fill a worker's memory; what is cut
+there leaves a record of its own, which a note of the audit tells.
 """
 
 from __future__ import annotations
@@ -58,19 +59,19 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def png_text(kind: bytes, body: bytes) -> tuple[str, str] | None:
-    """Keyword and value of a text chunk, or None if it is malformed."""
+def png_text(kind: bytes, body: bytes) -> tuple[str, str, bool] | None:
+    """Keyword and value of a text chunk, and whether the value is cut, or None if it is malformed."""
     name, _, rest = body.partition(b"\0")
     if kind == b"tEXt":
-        return name.decode("latin-1"), rest.decode("latin-1")
+        return name.decode("latin-1"), rest.decode("latin-1"), False
     if kind == b"zTXt":
         value = inflated(rest[1:])
-        return None if value is None else (name.decode("latin-1"), _text(value))
+        return None if value is None else (name.decode("latin-1"), _text(value), len(value) == INFLATE_CAP)
     fields = rest[2:].split(b"\0", 2)
     if len(rest) < 2 or len(fields) < 3:
         return None
     value = inflated(fields[2]) if rest[0] == 1 else fields[2]
-    return None if value is None else (_text(name), _text(value))
+    return None if value is None else (_text(name), _text(value), rest[0] == 1 and len(value) == INFLATE_CAP)
 
 
 def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
@@ -98,7 +99,9 @@ def png_records(data: bytes) -> Iterator[Record]:
         if is_manifest(kind):
             yield place, "c2pa", kind.decode("latin-1"), f"{kind.decode('latin-1')} chunk ({len(body)} bytes)"
         elif kind in (b"tEXt", b"zTXt", b"iTXt") and (pair := png_text(kind, body)):
-            yield place, "png", *pair
+            yield place, "png", *pair[:2]
+            if pair[2]:
+                yield place, "cut", pair[0], ""
 
 
 # IFD tags.
@@ -167,7 +170,7 @@ def jpeg_records(data: bytes) -> Iterator[Record]:
         elif marker == 0xEB and body.startswith(b"JP"):
             yield "JPEG APP11", "c2pa", "APP11", "APP11 JUMBF box"
         elif marker == 0xFE:
-            yield "JPEG COM segment", "field", "COM", _text(body)
+            yield "JPEG comment", "field", "comment", _text(body)
 
 
 def riff_chunks(data: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
@@ -232,11 +235,11 @@ def gif_blocks(data: bytes) -> Iterator[tuple[str, bytes, bytes, int, int]]:
 def gif_records(data: bytes) -> Iterator[Record]:
     for kind, app, body, _, _ in gif_blocks(data):
         if kind == "comment":
-            yield "GIF comment extension", "field", "GIF comment", _text(body)
+            yield "GIF comment", "field", "comment", _text(body)
         elif kind == "application" and b"XMP" in app:
-            yield "GIF application extension (XMP)", "xmp", "", _text(body)
+            yield "XMP block of a GIF", "xmp", "", _text(body)
         elif kind == "application":
-            yield "GIF application extension", "application", app.decode("latin-1"), _text(body)
+            yield "GIF application block", "application", app.decode("latin-1"), _text(body)
 
 
 def _local(tag) -> str:
@@ -278,44 +281,78 @@ def _members(data: bytes) -> zipfile.ZipFile | None:
 
 def _member(z: zipfile.ZipFile, name: str) -> bytes:
     with z.open(name) as f:
-        return f.read(INFLATE_CAP)
+        return f.read(INFLATE_CAP + 1)
 
 
-def _fields(z: zipfile.ZipFile, name: str, wanted: tuple[str, ...]) -> Iterator[tuple[str, str]]:
-    root = _xml(_member(z, name))
-    for e in root.iter() if root is not None else ():
-        if _local(e.tag) in wanted and e.text and e.text.strip():
-            yield _local(e.tag), e.text.strip()
+def _fields(z: zipfile.ZipFile, name: str, wanted: tuple[str, ...] | None) -> Iterator[tuple[str, dict, str]]:
+    """(tag, attributes, text) of a member's wanted elements, or of all two below its root, with their parent's attributes.
+
+    Read piece by piece; nothing of a member that is not well-formed. A member beyond INFLATE_CAP
+    gives what stands before it, then ("", {}, "").
+    """
+    from xml.etree import ElementTree
+
+    parser, out, above, size = ElementTree.XMLPullParser(("start", "end")), [], [], 0
+    try:
+        with z.open(name) as f:
+            while size < INFLATE_CAP and (part := f.read(1 << 16)):
+                size += len(part)
+                parser.feed(part)
+                for event, e in parser.read_events():
+                    if event == "start":
+                        above.append(e)
+                        continue
+                    above.pop()
+                    if e.text and (len(above) == 2 if wanted is None else _local(e.tag) in wanted and e.text.strip()):
+                        out.append((_local(e.tag), dict(above[-1].attrib) if wanted is None else {}, e.text.strip()))
+                    e.text = None
+                    for child in list(e):
+                        e.remove(child)
+            over = bool(f.read(1))
+        if not over:
+            parser.close()
+    except ElementTree.ParseError:
+        return
+    yield from out
+    if over:
+        yield "", {}, ""
+
+
+def _told(place: str, found: Iterator[tuple[str, dict, str]], record: Callable[[str, dict, str], Record]) -> Iterator[Record]:
+    for tag, attributes, value in found:
+        yield record(tag, attributes, value) if tag else (place, "cut", place, "")
 
 
 def docx_records(data: bytes) -> Iterator[Record]:
     z = _members(data)
     names = set(z.namelist()) if z else set()
     if (core := "docProps/core.xml") in names:
-        yield from ((core, "field", f"core.xml {t}", v) for t, v in _fields(z, core, ("creator", "lastmodifiedby")))
+        yield from _told(core, _fields(z, core, ("creator", "lastmodifiedby")), lambda t, _, v: (core, "field", f"core.xml {t}", v))
     if (app := "docProps/app.xml") in names:
-        for t, v in _fields(z, app, ("application", "appversion", "company")):
-            yield app, "whole" if t == "application" else "field", "Application" if t == "application" else f"app.xml {t}", v
-    if (custom := "docProps/custom.xml") in names and (root := _xml(_member(z, custom))) is not None:
-        yield from ((custom, "field", f"custom property '{p.attrib.get('name', '?')}'", v.text.strip()) for p in root for v in p if v.text)
+        yield from _told(app, _fields(z, app, ("application", "appversion", "company")), lambda t, _, v: (app, "whole" if t == "application" else "field", "Application" if t == "application" else f"app.xml {t}", v))
+    if (custom := "docProps/custom.xml") in names:
+        yield from _told(custom, _fields(z, custom, None), lambda _, a, v: (custom, "field", f"custom property '{a.get('name', '?')}'", v))
     for name in sorted(names):
         if name.startswith("customXml/") and name.endswith(".xml"):
-            yield from ((name, "field", f"{name} {t}", v) for t, v in _fields(z, name, ("creator", "generator", "tool")))
+            yield from _told(name, _fields(z, name, ("creator", "generator", "tool")), lambda t, _, v, name=name: (name, "field", f"{name} {t}", v))
 
 
 def odt_records(data: bytes) -> Iterator[Record]:
     z = _members(data)
     if z and "meta.xml" in z.namelist():
-        yield from ((f"meta.xml {t}", "whole", t, v) for t, v in _fields(z, "meta.xml", ("generator", "initial-creator", "creator", "creation-date")))
+        yield from _told("meta.xml", _fields(z, "meta.xml", ("generator", "initial-creator", "creator", "creation-date")), lambda t, _, v: (f"meta.xml {t}", "whole", t, v))
 
 
 def epub_records(data: bytes) -> Iterator[Record]:
     z = _members(data)
     for name in sorted(z.namelist()) if z else ():
         if name.lower().endswith(".opf"):
-            yield from ((name, "field", f"{name} {t}", v) for t, v in _fields(z, name, ("creator", "generator", "meta")))
+            yield from _told(name, _fields(z, name, ("creator", "generator", "meta")), lambda t, _, v, name=name: (name, "field", f"{name} {t}", v))
         elif name.lower().endswith((".xhtml", ".html", ".htm")):
-            yield name, "page", name, _text(_member(z, name))
+            page = _member(z, name)
+            yield name, "page", name, _text(page[:INFLATE_CAP])
+            if len(page) > INFLATE_CAP:
+                yield name, "cut", name, ""
 
 
 def zip_kind(data: bytes) -> str:
@@ -418,7 +455,8 @@ def audit_assets(assets: DataFrame, most: int = rules.MAX_BYTES) -> tuple[DataFr
     kind, value = F.col("container"), F.col("value")
     # One pass: records and what the text of a page, a Markdown file or a PDF tells are one list, taken apart once.
     as_text = F.when(kind == "pdf", F.decode(F.col("content"), "ISO-8859-1")).when(kind.isin(*TEXTUAL), routing.decoded(F.col("content")))
-    read = text.once(own.select("target", "container", decoded_records(kind, F.col("content")).alias("records"), as_text.alias("as_text")), value=F.col("as_text")).drop("as_text")
+    own = own.withColumn("records", decoded_records(kind, F.col("content")))
+    read = text.once(own.select("target", "container", "records", as_text.alias("as_text")), value=F.col("as_text")).drop("as_text")
     none_yet = F.array().cast(markup.fields_type())
     direct = F.when(kind == "html", markup.guarded_html(value)).when(kind == "markdown", markup.guarded_markdown(value)).when(kind == "pdf", markup.pdf_findings(value)).otherwise(none_yet)
     no_record = F.lit(None).cast(RECORDS[6:-1])
@@ -429,5 +467,5 @@ def audit_assets(assets: DataFrame, most: int = rules.MAX_BYTES) -> tuple[DataFr
     found = found.select("target", (F.col("nth").cast("long") * 100 + F.col("k")).alias("ord"), F.lit("container").alias("layer"), "f.*")
     textual = own.filter(kind.isin(*TEXTUAL)).select("target", routing.decoded(F.col("content")).alias("text"))
     findings = found.unionByName(text.scan_text(textual).withColumn("layer", F.lit("text")))
-    said = own.select("target", F.posexplode(F.array_compact(F.array(F.when(F.col("cut"), rules.NOTES["truncated"] % most), F.when(kind == "unknown-binary", rules.NOTES["unknown"]), F.when(kind.isin(*TEXTUAL), rules.NOTES["statistical"])))).alias("ord", "note"))
+    said = own.select("target", F.posexplode(F.array_compact(F.array(F.when(F.col("cut"), rules.NOTES["truncated"] % most), F.when(F.exists("records", lambda r: r["kind"] == "cut"), rules.NOTES["inflated"] % INFLATE_CAP), F.when(kind == "unknown-binary", rules.NOTES["unknown"]), F.when(kind.isin(*TEXTUAL), rules.NOTES["statistical"])))).alias("ord", "note"))
     return findings, said.select("target", F.col("ord").cast("long").alias("ord"), "note")

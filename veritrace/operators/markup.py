@@ -81,7 +81,9 @@ def parse_html(df: DataFrame, target: str = "target", html: str = "html") -> Dat
 
 #: Line ends of Markdown: CRLF, or one of LF CR VT FF FS GS RS NEL LS PS.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-# Frontmatter keys about generators.
+# A frontmatter line's key and value, and keys about generators.
+KEY_OF = r"^([A-Za-z0-9_.-]+)\s*:"
+VALUE_OF = r"^[A-Za-z0-9_.-]+\s*:\s*(.*)$"
 KEY = r"(?i)^(generator|model|ai[-_].*|claude.*|gpt.*|llm.*)$"
 
 
@@ -94,8 +96,8 @@ def frontmatter(text: Column) -> Column:
 
 def markdown_findings(text: Column) -> Column:
     def one(line: Column, i: Column) -> Column:
-        key = F.regexp_extract(line, r"^([A-Za-z0-9_.-]+)\s*:", 1)
-        value = F.regexp_replace(strip(F.regexp_extract(line, r"^[A-Za-z0-9_.-]+\s*:\s*(.*)$", 1)), r"""^["']+|["']+$""", "")
+        key = F.regexp_extract(line, KEY_OF, 1)
+        value = F.regexp_replace(strip(F.regexp_extract(line, VALUE_OF, 1)), r"""^["']+|["']+$""", "")
         found = markers(value)
         note = F.when(key.rlike(KEY), F.lit(rules.NOTES["key"])).otherwise(marker_note(found))
         return F.when((key != "") & (key.rlike(KEY) | (F.size(found) > 0)), finding("medium", "confirmed", "ai-metadata", F.concat(F.lit("frontmatter line "), (i + 2).cast("string")), F.concat(key, F.lit(": "), value), None, note)).otherwise(none())

@@ -29,7 +29,7 @@ def clean_text(value: Column) -> Column:
     A byte order mark at the very start stays, as do joiners beside emoji or scripts that need them,
     judged on the original text; soft hyphens count as format controls and go.
     """
-    beside = rules.char_class(rules.EMOJI_CONTEXT, ((0x2764, 0x2764),), rules.SHAPED_SCRIPTS)
+    beside = rules.char_class(rules.EMOJI_CONTEXT, rules.SHAPED_SCRIPTS)
     joiner = rules.char_class(rules.JOINERS)
     out = value
     # One pass over the original text: lookarounds see it unchanged.
@@ -80,7 +80,7 @@ def strip_markdown(value: Column) -> Column:
     close = F.size(markup.frontmatter(value)) + 2  # the closing fence's number
 
     def stays(x: Column, i: Column) -> Column:
-        key = F.regexp_extract(x["s"], r"^([A-Za-z0-9_.-]+)\s*:", 1)
+        key = F.regexp_extract(x["s"], markup.KEY_OF, 1)
         return (i == 0) | (i + 1 >= close) | ~key.rlike(FRONTMATTER)
 
     kept = F.array_join(F.transform(F.filter(lines, stays), lambda x: F.concat(x["s"], x["e"])), "")

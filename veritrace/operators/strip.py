@@ -18,7 +18,7 @@ from .removal import require_confirmation
 
 # What is dropped.
 PNG_KEYWORDS = ("parameters", "prompt", "software", "comment", "xml:com.adobe.xmp")
-JPEG_DROPPED = {0xE1: "APP1 (Exif/XMP)", 0xEB: "APP11 (JUMBF/C2PA)", 0xED: "APP13 (Photoshop/IPTC)", 0xFE: "COM"}
+JPEG_DROPPED = {0xE1: "Exif or XMP segment", 0xEB: "content credential segment", 0xED: "Photoshop segment", 0xFE: "comment segment"}
 WEBP_DROPPED = (b"C2PA", b"XMP ", b"EXIF")
 ODT_ELEMENTS = ("meta:generator", "meta:initial-creator", "dc:creator", "meta:creation-date", "meta:printed-by")
 CORE_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties"/>'
@@ -66,7 +66,7 @@ def webp(data: bytes) -> Stripped:
 
 
 def gif(data: bytes) -> Stripped:
-    names = {"comment": "comment extension", "application": "XMP application extension"}
+    names = {"comment": "comment", "application": "XMP block"}
     return without(data, ((begin, min(end, len(data)), names[kind]) for kind, app, _, begin, end in c.gif_blocks(data) if kind == "comment" or (kind == "application" and b"XMP" in app)))
 
 
@@ -99,10 +99,10 @@ def docx(data: bytes) -> Stripped:
 
     def change(name: str, body: bytes) -> bytes | None:
         if name in neutral:
-            what[f"{name} (neutralized)"] = None
+            what[f"values of {name}"] = None
             return neutral[name]
         if name == "docProps/custom.xml" or name.startswith("customXml/"):
-            what["customXml/*" if name.startswith("customXml/") else name] = None
+            what["custom XML parts" if name.startswith("customXml/") else name] = None
             return None
         return body
 
@@ -136,12 +136,12 @@ def pdf(data: bytes) -> Stripped:
                 break
             at += 1
         out[m.end() : at] = re.sub(rb"[^\\]", b" ", data[m.end() : at], flags=re.S)
-        what.append(f"/{m[1].decode()} (blanked)")
+        what.append(f"value of /{m[1].decode()}")
     if (begin := data.find(b"<?xpacket")) >= 0:
         end = data.find(b"<?xpacket end", begin)
         end = end if end >= 0 else min(len(data), begin + 65_536)
         out[begin:end] = re.sub(rb"[\x20-\x7e]", b" ", bytes(out[begin:end]))
-        what.append("XMP packet (blanked)")
+        what.append("text of the XMP packet")
     return bytes(out), what
 
 

@@ -117,9 +117,9 @@ ONE_FIELD = {
 }
 EVIDENCE = {
     "png": ("PNG chunk 'tEXt' (#1)", "Software"),
-    "jpeg": ("JPEG COM segment", "COM"),
+    "jpeg": ("JPEG comment", "comment"),
     "webp": ("WebP chunk 'EXIF' Software", "Software"),
-    "gif": ("GIF comment extension", "GIF comment"),
+    "gif": ("GIF comment", "comment"),
     "tiff": ("TIFF IFD0 Software", "Software"),
     "svg": ("SVG <svg> generator attribute", "generator"),
     "docx": ("docProps/core.xml", "core.xml creator"),

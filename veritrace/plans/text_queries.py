@@ -33,7 +33,7 @@ cps AS (SELECT s.target, text, i, unicode(c) AS cp,
   CASE WHEN i > 1 THEN unicode(substr(text, i - 1, 1)) ELSE 0 END AS p, CASE WHEN i < length(text) THEN unicode(substr(text, i + 1, 1)) ELSE 0 END AS q
   FROM (SELECT * FROM chars WHERE {_in('unicode(c)', _SIGNAL)}) s JOIN docs USING (target)),
 ruled AS (SELECT *, CASE
-  WHEN {_in('cp', rules.JOINERS)} THEN CASE WHEN {_in('p', rules.EMOJI_CONTEXT)} OR {_in('q', rules.EMOJI_CONTEXT)} OR p = 10084 OR q = 10084 THEN ['informational', 'informational', 'invisible-unicode', {_note('emoji')}]
+  WHEN {_in('cp', rules.JOINERS)} THEN CASE WHEN {_in('p', rules.EMOJI_CONTEXT)} OR {_in('q', rules.EMOJI_CONTEXT)} THEN ['informational', 'informational', 'invisible-unicode', {_note('emoji')}]
     WHEN {_in('p', rules.SHAPED_SCRIPTS)} OR {_in('q', rules.SHAPED_SCRIPTS)} THEN ['informational', 'informational', 'invisible-unicode', {_note('script')}]
     ELSE ['medium', 'confirmed', 'invisible-unicode', ''] END
   WHEN cp = 65279 AND i > 1 THEN ['medium', 'confirmed', 'invisible-unicode', {_note('bom')}]
