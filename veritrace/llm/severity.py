@@ -1,8 +1,9 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse features of words.
 
 Features are the words of a text and their first 3 to 6 letters, each valued by its share of the
-words: log(1 + 200 * count / (words + 20)). Grades are 0 (clean), 1 and 2 (toxic, below or from the median share of marked words among toxic rows: the
-labels say no more than toxic or not). One weight vector serves all thresholds:
+words: log(1 + 200 * count / (words + 20)). Grades are 0 (clean), 1 and 2 (toxic, below or from the
+median share of marked words among toxic rows: the labels say no more than toxic or not). What is
+marked in one half of the sample is told by a model fitted on the other half. One weight vector serves all thresholds:
 P(grade > k) = sigmoid(w . x - threshold_k); the expected severity is the sum of these.
 
 The model is fitted on a bounded sample of labelled rows, SAMPLE of either label, those whose ids
@@ -158,6 +159,23 @@ def _evidence(sample: DataFrame, n: list[int]) -> list[tuple[str, float]]:
     return [(r["feature"], r["g"]) for r in best.select("feature", "g").collect()]
 
 
+def _severe(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, share: np.ndarray, toxic: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """The rows whose share of marked words is the toxic rows' median or more; share: each value's share of its row's words.
+
+    Every other row, in the order of their hashes, is marked by a yes/no model of the rest; none is
+    severe if either half lacks clean or toxic rows.
+    """
+    n = len(toxic)
+    half, marked = np.arange(n) % 2 == 1, np.zeros(n)
+    for other in (half, ~half):
+        if not toxic[other].any() or toxic[other].all():
+            return np.zeros(n, bool)
+        own = other[rows]
+        w, _ = fit_ordinal((np.cumsum(other) - 1)[rows[own]], cols[own], x[own], toxic[other].astype(int), penalty)
+        marked += np.where(other, 0.0, np.bincount(rows, share * (w[cols] > 0), minlength=n))
+    return marked >= np.median(marked[toxic])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model of the labelled rows; without labels of both kinds it finds nothing toxic.
 
@@ -196,12 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = value(values, words[at])
     g = np.asarray([x for _, x in evidence])
     penalty = PENALTY * g.max() / g  # the less evidence, the dearer
-    w, t = fit_ordinal(at, cols, x, toxic.astype(int), penalty)
-    # Grades of toxic rows: by the share of words that the yes/no model marks.
-    marked = np.bincount(at, values * (w[cols] > 0), minlength=got.num_rows) / np.maximum(1, words)
-    grade = toxic.astype(int) + (toxic & (marked >= np.median(marked[toxic])))
-    if len(np.unique(grade)) == GRADES:
-        w, t = fit_ordinal(at, cols, x, grade, penalty)
+    grade = toxic.astype(int) + (toxic & _severe(at, cols, x, values / np.maximum(1, words)[at], toxic, penalty))
+    w, t = fit_ordinal(at, cols, x, grade, penalty)
     return Model({f: float(w[i]) for f, i in place.items() if w[i] > 0}, tuple(t.tolist()) + (np.inf,) * (GRADES - 1 - len(t)))
 
 
