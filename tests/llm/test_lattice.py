@@ -30,6 +30,133 @@ def test_forward_recursion():
     assert got == pytest.approx(np.asarray([[math.log(ways("▁" + w, c) * (0.3, 0.4)[c]) for c in (0, 1)] for w in words]))
 
 
+def test_expected_uses():
+    lattice = q.Lattice({p: i for i, p in enumerate(PIECES)}, SCORES, np.full((256, 2), -9.0), np.log([0.3, 0.4]))
+    words, has = ["a", "abab", "bé", "aabaab", "b" * 150], np.asarray([[1, 0], [1, 1], [0, 1], [1, 1], [1, 0]])
+
+    def every(text):
+        """All ways to cut a text, as lists of pieces and bytes."""
+        if not text:
+            yield []
+            return
+        for i, p in enumerate(PIECES):
+            if text.startswith(p):
+                yield from ([i, *rest] for rest in every(text[len(p) :]))
+        if text[0] not in PIECES:
+            yield from ([*(len(PIECES) + b for b in text[0].encode()), *rest] for rest in every(text[1:]))
+
+    want = np.zeros((len(PIECES) + 256, 2))
+    for w, h in zip(words[:4], has[:4], strict=True):
+        for c in (0, 1):
+            cuts = list(every("▁" + w))
+            p = np.asarray([math.exp(sum(SCORES[i, c] if i < len(PIECES) else -9.0 for i in x)) for x in cuts])
+            for x, share in zip(cuts, p / p.sum(), strict=True):
+                for i in x:
+                    want[i, c] += share * h[c]
+    want[PIECES.index("▁"), 0] += 1  # the long word: one way
+    want[PIECES.index("b"), 0] += 150
+    assert lattice.uses(words, has) == pytest.approx(want)
+
+
+def brute(docs, classes_of):
+    """The whole model's log10 probability of each text, word by word and way by way."""
+    import sentencepiece
+
+    m, v = sentencepiece.SentencePieceProcessor(model_file=FILE), q.vocabulary(FILE)
+    tokens = [[w.lower() for w in (t or "").split()] + [""] for _, t in docs]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in docs]
+    trained = [(c or "", x) for c, x, h in zip(classes_of, tokens, held, strict=True) if not h]
+    of = collections.Counter(c for c, _ in trained)
+    classes = sorted(of, key=lambda c: (-of[c], c))
+    counts = {c: collections.Counter(w for d, x in trained if d == c for w in x) for c in classes}
+    both = sum(counts.values(), collections.Counter())
+    once, twice = (sum(n == k for n in both.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once else 0.5
+    known = [i for i in range(len(v.names)) if v.usable[i]]
+    prior = dict(zip(known, v.prior[known] / v.prior[known].sum(), strict=True))
+    piece = {v.names[i]: i for i in known if not v.first_byte <= i < v.first_byte + 256}
+
+    def arcs(text):
+        """By end, (begin, pieces): single characters that are no piece are their bytes."""
+        out = []
+        for j in range(1, len(text) + 1):
+            own = [(i, [piece[text[i:j]]]) for i in range(max(0, j - 16), j) if text[i:j] in piece]
+            if text[j - 1] not in piece:
+                own.append((j - 1, [v.first_byte + b for b in text[j - 1].encode()]))
+            out.append(own)
+        return out
+
+    def forward(text, p):
+        a = [1.0]
+        for own in arcs(text):
+            a.append(sum(a[i] * math.prod(p[k] for k in ks) for i, ks in own))
+        return a
+
+    def weights(used):
+        """P of pieces and of the end, by class, after uses."""
+        made = {}
+        total = {i: sum(used[c].get(i, 0.0) for c in classes) for i in known}
+        for c in classes:
+            n, types = sum(used[c].values()), max(1.0, len(counts[c]))
+            stop = min(0.5, max(0.05, types / max(1.0, n + types)))
+            own = {i: used[c].get(i, 0.0) + q.BORROWED * total[i] for i in known}
+            size = sum(own.values()) + q.PRIOR
+            made[c] = {i: (own[i] + q.PRIOR * prior[i]) / size * (1 - stop) for i in known}, stop
+        return made
+
+    used = {c: collections.Counter(i for w in counts[c] if w for i in m.encode(w) if i in prior) for c in classes}
+    model = weights(used)
+    for _ in range(q.UPDATES):
+        used = {c: collections.Counter() for c in classes}
+        for c in classes:
+            p = model[c][0]
+            for w in counts[c]:
+                if w:
+                    text = "▁" + w
+                    a = forward(text, p)
+                    b = [0.0] * len(text) + [1.0]
+                    for j in range(len(text), 0, -1):
+                        for i, ks in arcs(text)[j - 1]:
+                            b[i] += math.prod(p[k] for k in ks) * b[j]
+                    for j, own in enumerate(arcs(text), 1):
+                        for i, ks in own:
+                            for k in ks:
+                                used[c][k] += a[i] * math.prod(p[x] for x in ks) * b[j] / a[-1]
+        model = weights(used)
+
+    def marginal(w, c):
+        n = sum(counts[c].values())
+        reserve = discount * len(counts[c]) / n
+        p, stop = model[c]
+        sub = q.END_SHARE if w == "" else forward("▁" + w, p)[-1] * stop * (1 - q.END_SHARE)
+        return max(0.0, counts[c][w] - discount) / n + reserve * q.SHARED * both[w] / sum(both.values()) + reserve * (1 - q.SHARED) * sub
+
+    out = []
+    for x in tokens:
+        each = []
+        for c in classes:
+            seen, total = collections.Counter(), math.log10((counts[c][""] + 0.5) / (both[""] + 0.5 * len(classes)))
+            for i, w in enumerate(x):
+                total += math.log10((q.URN * marginal(w, c) + seen[w]) / (q.URN + i))
+                seen[w] += 1
+            each.append(total)
+        top = max(each)
+        out.append(top + math.log10(sum(10 ** (e - top) for e in each)))
+    return out
+
+
+def test_the_whole_model(spark, monkeypatch):
+    docs = [(k, f"alpha beta Betta w{k % 5} gamma{k % 3} naïve") for k in range(24)] + [(1, None), (2, ""), (30, "same " * 9), (31, "unheard-of Ωmega alphabeta"), (37, "beta same alpha")]
+    classes = ["en" if k % 3 else None for k in range(len(docs))]
+    df = spark.createDataFrame([(*d, c, k) for k, (d, c) in enumerate(zip(docs, classes, strict=True))], "doc_id long, text string, lang string, row int")
+    want = sorted(zip([d for d, _ in docs], brute(docs, classes), strict=True))
+    for dictionary in (q.DICTIONARY, 2):
+        monkeypatch.setattr(q, "DICTIONARY", dictionary)
+        got = sorted((r.doc_id, r.score) for r in q.score(df, FILE).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+
+
 def test_log_gamma():
     x = np.asarray([1e-8, 0.3, 1.0, 5.5, 3000.0])
     assert q.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)

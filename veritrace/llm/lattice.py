@@ -3,9 +3,10 @@
 A word can be had in many ways: from any of the ways to cut it into pieces of an existing subword
 vocabulary, or whole, as an arc of its own, if the corpus has it. The marginal probability sums over
 all of them; over the pieces by a forward recursion in log space. Pieces weigh what the vocabulary's
-scores say, updated by how often each piece is used in the training words; whole words weigh their
-discounted share of the training tokens. Both are had for each class of documents (the languages). A
-document is drawn from one class, and its words from an urn that begins with these marginals and
+scores say, updated by how often each piece is used in the training words: first as the vocabulary
+itself cuts them, then by the expected uses over all ways to cut them (a forward and a backward
+recursion). Whole words weigh their discounted share of the training tokens. Both are had for each
+class of documents (the languages). A document is drawn from one class, and its words from an urn that begins with these marginals and
 gains a word with every draw (Polya's), so words that recur are likelier: its probability is the
 mixture over the classes. All counts are of the whole corpus and stay in tables: only a bounded
 dictionary of the most frequent words is sent out, and all other words meet their probabilities in a
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, map_batches, staged, table
 
-#: Words, and the bytes of the longest, in the dictionary that is sent to the workers: at most 64 MB or so.
+#: Words of up to so many bytes in the dictionary that is sent to the workers, and longer ones: at most 64 MB or so, and 16 MB.
 DICTIONARY, DICTIONARY_BYTES = 1 << 18, 128
+LONG_WORDS, LONG_BYTES = 1 << 8, 1 << 16
 #: Classes of documents that have counts of their own; all others are one more.
 CLASSES = 8
 #: Words counted in a worker before the counts are handed on.
@@ -39,50 +41,184 @@ END_SHARE, PRIOR = 0.01, 1000.0
 #: Of a class's reserve what goes to the words of other classes, what pieces used in all classes weigh in one, and the urn's size at the start.
 SHARED, BORROWED, URN = 0.1, 0.02, 3000.0
 FOLDS, HELD_OUT = 7, 2
+#: How often the pieces' weights are updated by their expected uses.
+UPDATES = 1
 END = ""
-LONGEST_PIECE = 16
+#: Words that pass through the lattice together, characters from which on a word passes alone, and in slices for the expected uses.
+TOGETHER, LONG, SLICE = 20_000, 128, 1 << 16
 
 _sent: dict[int, object] = {}
 
 
+Arcs = list[list[tuple[int, np.ndarray, np.ndarray]]]
+
+
 class Lattice:
     """Log probabilities (natural) of words from scored pieces, for several classes at once.
 
-    scores: a row a piece and a column a class; byte_scores: the same for the 256 bytes.
+    scores: a row a piece and a column a class; byte_scores: the same for the 256 bytes. Pieces are
+    found by a hash of 64 bits of their characters, for many words and places at once.
     """
 
     def __init__(self, pieces: dict[str, int], scores: np.ndarray, byte_scores: np.ndarray, stop: np.ndarray):
-        self.pieces, self.scores, self.bytes, self.stop = pieces, scores, byte_scores, stop
-        self.longest = min(LONGEST_PIECE, max(map(len, pieces), default=1))
+        self.scores, self.bytes, self.stop = scores, byte_scores, stop
+        self.longest = max(map(len, pieces), default=1)
+        self.seen, self.tables = np.zeros(1 << 20, bool), {}
+        for n in range(1, self.longest + 1):
+            own = [p for p in pieces if len(p) == n]
+            if own:
+                h = np.zeros(len(own), np.uint64)
+                for column in _codes(own).T:
+                    h = (h ^ column) * _MIX
+                order = np.argsort(h)
+                self.tables[n] = h[order], np.asarray([pieces[p] for p in own], np.int64)[order]
+                self.seen[h >> np.uint64(44)] = True
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """A row a word. The forward recursion runs over words of one length together."""
         out = np.zeros((len(words), self.scores.shape[1]))
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        for own in by_length.values():
-            out[own] = self._forward(["\u2581" + words[k] for k in own])
+        for own in _by_length(words):
+            texts = ["\u2581" + words[k] for k in own]
+            out[own] = self._forward(texts, self.arcs(_codes(texts)))[-1]
         return out + self.stop
 
-    def _forward(self, texts: list[str]) -> np.ndarray:
-        n, get = len(texts[0]), self.pieces.get
-        alpha = [np.zeros((len(texts), self.scores.shape[1]))]  # of the last places that a piece may begin at
-        for j in range(1, n + 1):
+    def uses(self, words: list[str], has: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, then of each byte, by class: of the words that the class has, over all ways to cut them.
+
+        A word longer than SLICE characters counts in slices.
+        """
+        counts = np.zeros((len(self.scores) + 256, self.scores.shape[1]))
+        parts = [(w[a : a + SLICE], k, a) for k, w in enumerate(words) for a in range(0, max(1, len(w)), SLICE)]
+        for own in _by_length([p[0] for p in parts]):
+            texts = [("" if parts[k][2] else "\u2581") + parts[k][0] for k in own]
+            for same in {len(t) for t in texts}:
+                at = [i for i, t in enumerate(texts) if len(t) == same]
+                self._expected([texts[i] for i in at], has[[parts[own[i]][1] for i in at]].astype(np.float64), counts)
+        return counts
+
+    def arcs(self, codes: np.ndarray) -> Arcs:
+        """By the place where they end, (length, rows, pieces) of the pieces in rows of characters."""
+        m, n = codes.shape
+        out: Arcs = [[] for _ in range(n + 1)]
+        if m == 1:  # a long word: all places at once
+            h = np.zeros(n, np.uint64)
+            found = []
+            for size in range(1, min(self.longest, n) + 1):
+                h = (h[: n - size + 1] ^ codes[0, size - 1 :]) * _MIX
+                at, ids = self._pieces(h, size)
+                found.append((at + size, np.full(len(at), size), ids))
+            end, size, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+            row = np.zeros(1, np.int64)
+            for e, k, i in zip(end.tolist(), size.tolist(), ids.tolist(), strict=True):
+                out[e].append((k, row, np.asarray([i])))
+            return out
+        for begin in range(n):
+            h = np.zeros(m, np.uint64)
+            for size in range(1, min(self.longest, n - begin) + 1):
+                h = (h ^ codes[:, begin + size - 1]) * _MIX
+                rows, ids = self._pieces(h, size)
+                if len(rows):
+                    out[begin + size].append((size, rows, ids))
+        return out
+
+    def _pieces(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.seen[h >> np.uint64(44)])
+        if size not in self.tables or not len(at):
+            return at[:0], at[:0]
+        known, ids = self.tables[size]
+        place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+        hit = known[place] == h[at]
+        return at[hit], ids[place[hit]]
+
+    def _steps(self, texts: list[str], arcs: Arcs) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By place, the rows whose character there is no piece, and the scores of its bytes."""
+        out = []
+        for j in range(1, len(texts[0]) + 1):
+            alone = np.ones(len(texts), bool)
+            for size, rows, _ in arcs[j]:
+                if size == 1:
+                    alone[rows] = False
+            rows = np.flatnonzero(alone)
+            out.append((rows, np.asarray([self.bytes[list(texts[k][j - 1].encode())].sum(axis=0) for k in rows.tolist()]).reshape(len(rows), self.scores.shape[1])))
+        return out
+
+    def _forward(self, texts: list[str], arcs: Arcs, keep: bool = False, steps=None) -> list[np.ndarray]:
+        """log P of the first j characters, for the last places, or if kept for all."""
+        steps = steps or self._steps(texts, arcs)
+        alpha = [np.zeros((len(texts), self.scores.shape[1]))]
+        for j in range(1, len(texts[0]) + 1):
             total = np.full_like(alpha[0], -np.inf)
-            alone = np.zeros(len(texts), bool)
-            for i in range(max(0, j - self.longest), j):
-                piece = np.fromiter((get(t[i:j], -1) for t in texts), np.int64, len(texts))
-                at = np.flatnonzero(piece >= 0)
-                if len(at):
-                    total[at] = np.logaddexp(total[at], alpha[i - j][at] + self.scores[piece[at]])
-                    if i == j - 1:
-                        alone[at] = True
-            for k in np.flatnonzero(~alone).tolist():  # the character's bytes
-                step = self.bytes[list(texts[k][j - 1].encode())].sum(axis=0)
-                total[k] = np.logaddexp(total[k], alpha[-1][k] + step)
-            alpha = [*alpha[-self.longest + 1 :], total] if self.longest > 1 else [total]
-        return alpha[-1]
+            for size, rows, ids in arcs[j]:
+                total[rows] = np.logaddexp(total[rows], alpha[-size][rows] + self.scores[ids])
+            rows, step = steps[j - 1]
+            if len(rows):
+                total[rows] = np.logaddexp(total[rows], alpha[-1][rows] + step)
+            alpha.append(total)
+            if not keep and len(alpha) > self.longest:
+                del alpha[0]
+        return alpha
+
+    def _expected(self, texts: list[str], has: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the expected uses in texts of one length, weighted by has, to counts."""
+        arcs, n, pieces = self.arcs(_codes(texts)), len(texts[0]), len(self.scores)
+        if not n:
+            return
+        steps = self._steps(texts, arcs)
+        alpha = self._forward(texts, arcs, True, steps)
+        whole = alpha[-1]
+        beta: list[np.ndarray] = [np.full_like(whole, -np.inf) for _ in range(n)] + [np.zeros_like(whole)]
+        ids_, uses_ = [], []
+        for j in range(n, 0, -1):
+            rest = beta[j] - whole
+            for size, rows, ids in arcs[j]:
+                through = self.scores[ids] + beta[j][rows]
+                beta[j - size][rows] = np.logaddexp(beta[j - size][rows], through)
+                ids_.append(ids)
+                uses_.append(np.exp(alpha[j - size][rows] + self.scores[ids] + rest[rows]) * has[rows])
+            rows, step = steps[j - 1]
+            if len(rows):
+                beta[j - 1][rows] = np.logaddexp(beta[j - 1][rows], step + beta[j][rows])
+                use = np.exp(alpha[j - 1][rows] + step + rest[rows]) * has[rows]
+                for k, r in enumerate(rows.tolist()):
+                    for b in texts[r][j - 1].encode():
+                        counts[pieces + b] += use[k]
+        if ids_:
+            ids, uses = np.concatenate(ids_), np.concatenate(uses_)
+            for c in range(counts.shape[1]):
+                counts[:pieces, c] += np.bincount(ids, uses[:, c], minlength=pieces)
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """The characters of texts of one length, a row a text."""
+    n = len(texts[0])
+    return np.asarray(texts, f"U{max(1, n)}").view(np.uint32).reshape(len(texts), max(1, n))[:, :n].astype(np.uint64)
+
+
+def _by_length(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words of each length; those of long words alone."""
+    found: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        if len(w) < LONG:
+            found.setdefault(len(w), []).append(k)
+        else:
+            yield [k]
+    yield from found.values()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows or bytes."""
+    held, n, b = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, b = n + batch.num_rows, b + batch.nbytes
+        if n >= rows or b >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, b = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -193,6 +329,36 @@ def piece_counts(words: DataFrame, path: str, size: int, k: int) -> np.ndarray:
     return out
 
 
+def expected_counts(words: DataFrame, lattice: Lattice, k: int) -> np.ndarray:
+    """Expected uses of pieces and bytes in each class's distinct words, a row a piece."""
+    schema = pa.schema([("piece", pa.int32()), ("uses", pa.list_(pa.float64()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(lattice.scores) + 256, k))
+        for batch in _gathered(batches, TOGETHER, 8 << 20):
+            total += lattice.uses(batch.column(0).to_pylist(), np.stack([batch.column(1 + c).to_numpy() > 0 for c in range(k)], axis=1))
+        used = np.flatnonzero(total.any(axis=1))
+        own = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), k).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), own], schema=schema)
+
+    out = np.zeros((len(lattice.scores) + 256, k))
+    made = map_batches(words.select("word", *(f"c{i}" for i in range(k))), rows, "piece int, uses array<double>")
+    for r in made.groupBy("piece").agg(*(F.sum(F.element_at("uses", c + 1)).alias(f"u{c}") for c in range(k))).collect():  # a row a piece of the vocabulary
+        out[r["piece"]] = [r[f"u{c}"] for c in range(k)]
+    return out
+
+
+def most_frequent(words: DataFrame, room: int) -> DataFrame:
+    """About room rows of (word, n) with the highest n, by a histogram of n: nothing is sorted, no task sees more than its own rows."""
+    bucket = F.floor(F.log2("n") * 16)
+    sizes = words.groupBy(bucket.alias("b")).count().collect()  # some hundred rows
+    for r in sorted(sizes, key=lambda r: -r["b"]):
+        if r["count"] > room:  # of the last bucket as many as there is room for, by their hash
+            return words.filter((bucket > r["b"]) | ((bucket == r["b"]) & (F.pmod(F.xxhash64("word"), F.lit(1000)) < 980 * room // r["count"])))
+        room -= r["count"]
+    return words
+
+
 class Corpus(NamedTuple):
     tokens: int  # training tokens
     types: int  # distinct training tokens
@@ -218,8 +384,10 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
 
     Rows whose crc32 of the id's text is 2 modulo 7 are held out of all counts. A null text is empty
     and has its end alone; a null id counts as the empty text; a null class is a class like any
-    other; repeated rows count as often as they occur. Without training rows the lattice of the
-    vocabulary's scores is all there is. Columns of other names are ignored.
+    other; repeated rows count as often as they occur. The CLASSES largest classes have counts of
+    their own, all others share one. Without training rows the lattice of the vocabulary's scores is
+    all there is; an empty table gives no rows. Texts and words are whole, however long. Columns of
+    other names are ignored.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     cls = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
@@ -236,16 +404,26 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     corpus = Corpus(got["n"], got["v"], discount, *(np.asarray([float(r[f"{x}{i}"]) if r else 0.0 for i in range(k)]) for r, x in ((got, "n"), (got, "v"), (ends, "c"))))
 
     v = vocabulary(vocabulary_path)
-    used = piece_counts(counts.filter((trained > 0) & (F.col("word") != END)), vocabulary_path, len(v.names), k) * v.usable
-    stop = np.clip(corpus.class_types / np.maximum(1.0, used.sum(axis=1) + corpus.class_types), 0.05, 0.5)
-    used = used + BORROWED * used.sum(axis=0)
-    with np.errstate(divide="ignore"):
-        logs = np.log((used + PRIOR * v.prior) / (used.sum(axis=1, keepdims=True) + PRIOR)).T + np.log(1 - stop)
+    types = np.maximum(1.0, corpus.class_types)
     kept = [i for i in range(len(v.names)) if v.usable[i] and not v.first_byte <= i < v.first_byte + 256]
-    lattice = Lattice({v.names[i]: j for j, i in enumerate(kept)}, logs[kept], logs[v.first_byte : v.first_byte + 256], np.log(stop * (1 - END_SHARE)))
+    every = np.asarray([*kept, *range(v.first_byte, v.first_byte + 256)])
+    pieces, weight = {v.names[i]: j for j, i in enumerate(kept)}, v.prior[every] / v.prior[every].sum()
+
+    def lattice_of(used: np.ndarray) -> Lattice:
+        """The lattice after uses (pieces, then bytes, by class) of the distinct training words."""
+        stop = np.clip(types / np.maximum(1.0, used.sum(axis=0) + types), 0.05, 0.5)
+        used = used + BORROWED * used.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            logs = np.log((used + PRIOR * weight[:, None]) / (used.sum(axis=0) + PRIOR)) + np.log(1 - stop)
+        return Lattice(pieces, logs[: len(kept)], logs[len(kept) :], np.log(stop * (1 - END_SHARE)))
+
+    trained_words = counts.filter((trained > 0) & (F.col("word") != END))
+    lattice = lattice_of((piece_counts(trained_words, vocabulary_path, len(v.names), k) * v.usable).T[every])
+    for _ in range(UPDATES):
+        lattice = lattice_of(expected_counts(trained_words, lattice, k))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, TOGETHER, 8 << 20):
             words = batch.column(0).to_pylist()
             sub = lattice.log_probabilities(words) / math.log(10)
             sub[[w == END for w in words]] = math.log10(END_SHARE)
@@ -256,7 +434,9 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
 
     model = staged(map_batches(counts, weigh, "word string, n bigint, c bigint, p array<float>"), "words")
     discard(counts)
-    frequent = model.filter(F.octet_length("word") <= DICTIONARY_BYTES).orderBy(F.col("n").desc(), "word").limit(DICTIONARY).select("word", "c", "p").toArrow()
+    size = F.octet_length("word")
+    short, long = model.filter(size <= DICTIONARY_BYTES), model.filter((size > DICTIONARY_BYTES) & (size <= LONG_BYTES))
+    frequent = most_frequent(short, DICTIONARY).union(most_frequent(long, LONG_WORDS)).select("word", "c", "p").toArrow()
     known = frequent.column("c").to_numpy()
     weights = np.stack(frequent.column("p").to_numpy()).astype(np.float64) if len(known) else np.zeros((0, k))
     per = math.log10(corpus.tokens + corpus.types + 1)  # 1 * (V + 1)
