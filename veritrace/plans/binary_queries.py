@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.shipping import ship
+from ..functions.staging import staged
 from ..operators import containers, strip
 from . import samples, seeds
 from .markup_queries import _ESCAPED, _READ, _hits
@@ -53,7 +54,7 @@ def container_records(spark, sf_dir):
 def stripped_assets(spark, sf_dir):
     """What is left of stripped assets, and what a new audit finds, by container: in a TIFF file a zeroed pointer leads to the file's first bytes."""
     own = containers.with_container(assets(spark, sf_dir)).filter(F.col("container").isin(*strip.STRIPPERS))
-    done = strip.strip_assets(own, confirm=True)
+    done = staged(strip.strip_assets(own, confirm=True), "stripped")  # read twice below
     left, _ = containers.audit_assets(done.select("target", "content"))
     kept = left.groupBy("target").agg(F.count("*").alias("left"))
     md5 = F.when(F.col("container").isin(*_PLAIN), F.md5("content")).otherwise("")
