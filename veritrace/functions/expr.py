@@ -42,7 +42,8 @@ def none() -> Column:
 
 def markers(value: Column, words=rules.AI_MARKERS) -> Column:
     """The marker words that occur in a value whatever its case, in their fixed order."""
-    return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(value), w))
+    # The value is lowered once, as the only element of an array.
+    return F.element_at(F.transform(F.array(F.lower(value)), lambda low: F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(low, w))), 1)
 
 
 def markers_of(value: Column, words=rules.AI_MARKERS) -> Column:

@@ -35,7 +35,8 @@ def clean_text(value: Column) -> Column:
     # One pass over the original text: lookarounds see it unchanged.
     drop = f"(?<!{beside}){joiner}(?!{beside})|{rules.char_class(rules.ZERO_WIDTH_SPACE, rules.SOFT_HYPHEN, rules.FORMAT_CONTROLS, rules.BIDI_CONTROLS, rules.TAGS, rules.PRIVATE_USE)}|(?<!^)\\x{{FEFF}}"
     out = F.regexp_replace(out, drop, "")
-    return F.regexp_replace(out, rules.char_class(rules.SPACES), " ")
+    # ASCII texts hold nothing to take out.
+    return F.when(F.octet_length(value) == F.char_length(value), value).otherwise(F.regexp_replace(out, rules.char_class(rules.SPACES), " "))
 
 
 def removed_counts(df: DataFrame, target: str = "target", value: str = "text") -> DataFrame:
@@ -47,7 +48,8 @@ def removed_counts(df: DataFrame, target: str = "target", value: str = "text") -
 def clean_texts(df: DataFrame, target: str = "target", value: str = "text", confirm: bool = False) -> DataFrame:
     """(target, cleaned, changed)"""
     require_confirmation(confirm)
-    return df.select(F.col(target).alias("target"), clean_text(F.col(value)).alias("cleaned"), (clean_text(F.col(value)) != F.col(value)).alias("changed"))
+    own = text.once(df.select(F.col(target).alias("target"), F.col(value).alias("__text")), cleaned=clean_text(F.col("__text")))
+    return own.select("target", "cleaned", (F.col("cleaned") != F.col("__text")).alias("changed"))
 
 
 def verified(df: DataFrame, target: str = "target", cleaned: str = "cleaned") -> DataFrame:

@@ -42,6 +42,8 @@ _FOREIGN, _LATIN = rules.char_class(rules.GREEK, rules.CYRILLIC), rules.char_cla
 #: Somewhere in a mixed word two such letters meet.
 _MIXED = f"{_LATIN}{_FOREIGN}|{_FOREIGN}{_LATIN}"
 _MIXED_WORD = f"(?<!{rules.WORD_CLASS}){rules.WORD_CLASS}*(?:{_MIXED}){rules.WORD_CLASS}*"
+#: A character without which a line has neither a signal nor a mixed word.
+_ANY = rules.char_class(_SIGNAL, rules.GREEK, rules.CYRILLIC)
 #: Characters of a piece, but for the rest of its last word.
 PIECE = 2000
 
@@ -64,8 +66,11 @@ def _pieces(df: DataFrame, target: str, text: str, pattern: str) -> DataFrame:
     base: characters of the line before the piece, of which the last ones are before; after: the first
     characters of the next piece. Lines end at line feeds alone.
     """
-    own = df.select(F.col(target).alias("target"), F.col(text).alias("text")).filter(F.octet_length("text") != F.char_length("text"))
-    lines = own.select("target", F.posexplode(F.split(F.col("text"), "\n")).alias("line", "s")).filter(F.col("s").rlike(pattern))
+    # A text that is worked out (cleaned, decoded, made visible) is so once.
+    own = df.select(F.col(target).alias("target"), F.explode(F.array(F.col(text))).alias("text")).filter(F.octet_length("text") != F.char_length("text"))
+    # Cheap tests first: most lines are ASCII, and most others hold no character that the pattern needs.
+    some = (F.octet_length("s") != F.char_length("s")) & F.col("s").rlike(_ANY) & F.col("s").rlike(pattern)
+    lines = own.select("target", F.posexplode(F.split(F.col("text"), "\n")).alias("line", "s")).filter(some)
     side = rules.CONTEXT_CHARS + 1
     cut = F.when(F.char_length("s") <= PIECE, F.array("s")).otherwise(F.regexp_extract_all("s", F.lit(f"(?s).{{1,{PIECE}}}{rules.WORD_CLASS}*+"), F.lit(0)))
 
