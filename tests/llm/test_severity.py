@@ -110,3 +110,19 @@ def test_repeats_ties_and_names(spark):
     got = q.score(rows, model).collect()
     assert len(got) == 4 and len({r.p_toxic for r in got if r.doc_id == 1}) == 1
     assert got[0].rejected is True and all(r.rejected in (True, False) for r in got)  # a column of that name is replaced
+
+
+def test_the_fit_makes_no_products_of_the_whole_sample():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    n, each, p = 4000, 150, 400
+    rows, cols = np.repeat(np.arange(n, dtype=np.int32), each), r.integers(0, p, n * each).astype(np.int32)
+    x = r.random(n * each)
+    tracemalloc.start()
+    w, _ = q.fit_ordinal(rows, cols, x, r.integers(0, 3, n), np.full(p, 1e-4), steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w) == p and peak < x.nbytes / 2
+    values = r.random(p)
+    assert np.array_equal(q._sums(rows, cols, x, values, n), np.bincount(rows, values[cols] * x, minlength=n))

@@ -160,3 +160,21 @@ def test_rows_that_repeat(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (3, None), (4, ""), (2, "A b C d e f")], "doc_id long, text string").withColumn("least", F.lit(0))
     assert sorted(map(str, (r.doc_id for r in q.one_of_each(df).collect()))) == ["1", "3", "None"]
     assert q.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("bits", "m"), [(2, None), (37, 8)])
+def test_chain_test_by_its_runs_and_how_long_it_is(spark, bits, m):
+    own = [x % 2**64 for x in q.segments(bits, m)]
+    m, r = len(own), np.random.default_rng(8)
+    pairs = [(int(a), int(a) ^ sum(1 << int(k) for k in r.choice(64, min(64, int(n)), replace=False))) for a, n in zip(r.integers(0, 1 << 62, 600), r.integers(0, 2 * bits + 4, 600), strict=True)]
+
+    def chained(diff):
+        c = [(diff & s).bit_count() for s in own]
+        return any(all(sum(c[(i + j) % m] for j in range(k + 1)) <= (k + 1) * bits // m for k in range(m)) for i in range(m))
+
+    want = [chained(a ^ b) for a, b in pairs]
+    test = q.chain_test(F.col("a"), F.col("b"), bits, m)
+    df = spark.createDataFrame([(k, *((x + 2**63) % 2**64 - 2**63 for x in p)) for k, p in enumerate(pairs)], "k int, a long, b long")
+    assert [x.t for x in df.select("k", test.alias("t")).orderBy("k").collect()] == want and 0 < sum(want) < len(want)
+    # The driver plans it again whenever a stage of its query ends.
+    assert str(test).count("bit_count") <= m * m

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,8 @@ REJECT = 0.5
 PENALTY = 2e-4
 #: What the clean rows weigh in the fit: more than half, as a clean document lost is worse.
 CLEAN = 0.7
+#: Values that the fit multiplies at a time.
+CHUNK = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -90,6 +93,15 @@ class Model:
         return [float(1 / (1 + np.exp(np.clip(t - score, -500, 500)))) for t in self.thresholds]
 
 
+def _sums(to: np.ndarray, of: np.ndarray, x: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """The sums of x * weights[of] by to; the driver holds no more than CHUNK products, added in their order."""
+    out = np.zeros(size)
+    for a in range(0, len(x), CHUNK):
+        own = slice(a, a + CHUNK)
+        np.add.at(out, to[own].astype(np.intp), weights[of[own]] * x[own])
+    return out
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.ndarray, penalty: np.ndarray, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds by proximal gradient steps on the cumulative-link likelihood.
 
@@ -106,18 +118,18 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.nda
     # The steepest the slope can rise, by power iteration on the weighted rows; a logistic bends at most a quarter.
     pull, z = sum(share), np.ones(p)
     for _ in range(50):
-        z = np.bincount(cols, (pull * np.bincount(rows, z[cols] * x, minlength=n))[rows] * x, minlength=p)
+        z = _sums(cols, rows, x, pull * _sums(rows, cols, x, z, n), p)
         top = np.linalg.norm(z)
         z /= max(top, 1e-12)
     rate = 4.0 / (1.05 * top + 2 * float(pull.sum()))
     for _ in range(steps):
-        score = np.bincount(rows, v[cols] * x, minlength=n)
+        score = _sums(rows, cols, x, v, n)
         slope, turn = np.zeros(n), np.zeros(k)
         for g in range(k):
             d = share[g] * (1 / (1 + np.exp(np.clip(u[g] - score, -500, 500))) - asked[g])
             slope += d
             turn[g] = -d.sum()
-        new_w = np.maximum(0.0, v - rate * (np.bincount(cols, slope[rows] * x, minlength=p) + penalty))
+        new_w = np.maximum(0.0, v - rate * (_sums(cols, rows, x, slope, p) + penalty))
         new_t = np.maximum.accumulate(u - rate * turn)
         new_mass = (1 + np.sqrt(1 + 4 * mass * mass)) / 2
         v, u = new_w + (mass - 1) / new_mass * (new_w - w), new_t + (mass - 1) / new_mass * (new_t - t)
@@ -171,8 +183,8 @@ def _severe(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, share: np.ndarray
         if not toxic[other].any() or toxic[other].all():
             return np.zeros(n, bool)
         own = other[rows]
-        w, _ = fit_ordinal((np.cumsum(other) - 1)[rows[own]], cols[own], x[own], toxic[other].astype(int), penalty)
-        marked += np.where(other, 0.0, np.bincount(rows, share * (w[cols] > 0), minlength=n))
+        w, _ = fit_ordinal((np.cumsum(other) - 1).astype(np.int32)[rows[own]], cols[own], x[own], toxic[other].astype(int), penalty)
+        marked += np.where(other, 0.0, _sums(rows, cols, share, (w > 0).astype(float), n))
     return marked >= np.median(marked[toxic])
 
 
@@ -205,16 +217,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # The bounded sample, as columns.
     got = map_batches(sample, rows, "row bigint, toxic bigint, words bigint, at array<int>, n array<double>").toArrow().sort_by("row")
-    lists = got.column("at").combine_chunks()
-    at = np.repeat(np.arange(got.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-    cols = lists.flatten().to_numpy().astype(np.int64)
-    values = got.column("n").combine_chunks().flatten().to_numpy()
+    at = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(got.column("at")).to_numpy())
+    cols = pc.list_flatten(got.column("at")).to_numpy()
+    values = pc.list_flatten(got.column("n")).to_numpy()
     toxic = got.column("toxic").to_numpy() > 0
     words = got.column("words").to_numpy().astype(np.float64)
+    del got
     x = value(values, words[at])
+    share = values / np.maximum(1, words)[at]
+    del values
+    pa.default_memory_pool().release_unused()  # the driver goes on with other stages
     g = np.asarray([x for _, x in evidence])
     penalty = PENALTY * g.max() / g  # the less evidence, the dearer
-    grade = toxic.astype(int) + (toxic & _severe(at, cols, x, values / np.maximum(1, words)[at], toxic, penalty))
+    grade = toxic.astype(int) + (toxic & _severe(at, cols, x, share, toxic, penalty))
     w, t = fit_ordinal(at, cols, x, grade, penalty)
     return Model({f: float(w[i]) for f, i in place.items() if w[i] > 0}, tuple(t.tolist()) + (np.inf,) * (GRADES - 1 - len(t)))
 

@@ -96,18 +96,22 @@ def index_masks(max_bits: int) -> list[int]:
 
 
 def chain_test(a, b, max_bits: int, m: int | None = None):
-    """Whether some place on the ring of m segments keeps every run of them from there within its share of max_bits."""
+    """Whether some place on the ring of m segments keeps every run of them from there within its share of max_bits.
+
+    From the longest run back, what is left for the segments before is the least of their own run's
+    share and of what the next segment leaves: each segment stands once in a place, so the
+    expression, which the driver plans again and again, grows with m**2, not m**3.
+    """
     own = segments(max_bits, m)
     m = len(own)
     diff = a.bitwiseXOR(b)
     bits = [F.bit_count(diff.bitwiseAND(F.lit(s))) for s in own]
     places = []
     for i in range(m):
-        run, test = F.lit(0), F.lit(True)
-        for k in range(m):
-            run = run + bits[(i + k) % m]
-            test = test & (run <= (k + 1) * max_bits // m)
-        places.append(test)
+        left = F.lit(max_bits)
+        for k in range(m - 1, 0, -1):
+            left = F.least(F.lit(k * max_bits // m), left - bits[(i + k) % m])
+        places.append(bits[i] <= left)
     out = places[0]
     for p in places[1:]:
         out = out | p
