@@ -117,10 +117,14 @@ def crawl(urls: DataFrame, rules_: DataFrame, fetched: DataFrame, max_pages: int
     """(site, url, ord, status): audited, capped, timeout or skipped, in the order of discovery.
 
     urls: (site, url, ord); rules_: robots_rules(); fetched: (url, outcome), outcome 'ok', 'timeout' or
-    'error'. Robots rules come first; only pages that were audited use up the cap.
+    'error', and ord if a URL that was discovered twice was fetched twice; else a URL has one outcome, its
+    best. Each row of urls has one status. Robots rules come first; only pages that were audited use up the cap.
     """
-    barred = urls.join(rules_.select("site", "rule"), (urls["site"] == rules_["site"]) & F.startswith(path_of(urls["url"]), F.col("rule")), "left_semi").select("site", "url").withColumn("barred", F.lit(True))
-    rows = urls.join(barred, ["site", "url"], "left").join(fetched.select("url", "outcome"), "url", "left")
+    key = ["url", "ord"] if "ord" in fetched.columns else ["url"]
+    best = F.max(F.struct((F.col("outcome") == "ok").alias("ok"), "outcome"))["outcome"]
+    fetched = fetched.groupBy(*key).agg(best.alias("outcome"))
+    barred = urls.join(rules_.select("site", "rule"), (urls["site"] == rules_["site"]) & F.startswith(path_of(urls["url"]), F.col("rule")), "left_semi").select("site", "url").distinct().withColumn("barred", F.lit(True))
+    rows = urls.join(barred, ["site", "url"], "left").join(fetched, key, "left")
     rows = rows.withColumn("barred", F.coalesce("barred", F.lit(False)))
     before = Window.partitionBy("site").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     ok = F.when(~F.col("barred") & (F.col("outcome") == "ok"), 1).otherwise(0)
