@@ -21,7 +21,7 @@ KINDS = tuple(samples.ONE_FIELD)
 def assets(spark, sf_dir):
     """(target, content): white space and control characters of a text are single blanks, as XML holds no others."""
     ship(spark)
-    v = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x20\\x7f-\\xa0]+", " "))
+    v = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x20\\x7f-\\xa0]+", " "), "^\\p{Zs}+|\\p{Zs}+$", "")
     v = F.concat(F.when(v == "", "x").otherwise(v), F.when(F.pmod("doc_id", F.lit(3)) == 0, " by ChatGPT").otherwise(""))
 
     @F.pandas_udf("binary")
