@@ -74,15 +74,18 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-# Texts as the containers hold them: PNG and PDF in Latin-1, a JPEG file in several segments, a TIFF value up to its cap.
+# Texts as the containers hold them: PNG and PDF in Latin-1, a JPEG file in several segments, a TIFF value in an audit up to its cap.
 _V = "trim(regexp_replace(coalesce(text, ''), '[\\x{1}-\\x{20}\\x{7F}-\\x{A0}]+', ' ', 'g'))"
 _LATIN = "regexp_replace(v, '[^\\x{1}-\\x{FF}]', '?', 'g')"
 _CHARS = samples.COMMENT_CHARS
+#: What an audit looks at of a TIFF value; records hold all of it.
+_LIMIT = f" WHERE kind NOT IN ('tiff', 'webp') OR strlen(whole) < {containers.IFD_VALUE}"
 _ROWS = f"""a AS (SELECT doc_id AS target, [{', '.join(f"'{k}'" for k in KINDS)}][doc_id % {len(KINDS)} + 1] AS kind, CASE WHEN v = '' THEN 'x' ELSE v END || CASE WHEN doc_id % 3 = 0 THEN ' by ChatGPT' ELSE '' END AS whole FROM (SELECT doc_id, {_V} AS v FROM documents)),
 s AS (SELECT target, kind, whole, unnest(generate_series(0, CASE WHEN kind = 'jpeg' THEN (length(whole) - 1) // {_CHARS} ELSE 0 END)) AS i FROM a),
-c AS (SELECT target, kind, i, CASE WHEN kind = 'jpeg' THEN substr(whole, 1 + {_CHARS} * i, {_CHARS}) ELSE whole END AS v FROM s WHERE kind NOT IN ('tiff', 'webp') OR strlen(whole) < {containers.IFD_VALUE}),
+c AS (SELECT target, kind, i, CASE WHEN kind = 'jpeg' THEN substr(whole, 1 + {_CHARS} * i, {_CHARS}) ELSE whole END AS v FROM s{_LIMIT}),
 l AS (SELECT target, kind, i, CASE WHEN kind IN ('png', 'pdf') THEN {_LATIN} ELSE v END AS v FROM c),
 r AS (SELECT target, kind, i, trim(CASE WHEN kind = 'pdf' THEN {_READ} ELSE v END) AS v, v AS raw FROM (SELECT *, {_ESCAPED} AS e FROM l))"""
+_WHOLE_ROWS = _ROWS.replace(_LIMIT, "")
 _PLACE = _case({n: _quoted(samples.EVIDENCE[n][0]) for n in samples.EVIDENCE})
 _FIELD = _case({n: _quoted(samples.EVIDENCE[n][1]) for n in samples.EVIDENCE})
 _CUT = f"CASE WHEN kind <> 'odt' AND length(v) > {rules.VALUE_CUT} THEN substr(v, 1, {rules.VALUE_CUT - 3}) || '...' ELSE v END"
@@ -95,7 +98,7 @@ SELECT target, CASE WHEN {_MARKED} THEN 'medium' ELSE 'informational' END AS sev
 UNION ALL SELECT target, 'informational', 'generator-meta', 'docProps/app.xml', 'Application=Writer' FROM a WHERE kind = 'docx'
 UNION ALL SELECT target, 'medium', 'ai-metadata', 'PDF outside compressed streams', 'AI marker bytes' FROM f WHERE kind = 'pdf' AND {_MARKED} AND len(list_filter({_hits('v')}, lambda m: NOT contains(lower(evidence), m))) > 0""",
     "asset_notes": f"WITH {_ROWS} SELECT target, CASE kind WHEN 'svg' THEN {_note('statistical')} ELSE {_note('unknown')} END AS note FROM a WHERE kind IN ('svg', 'unknown-binary')",
-    "container_records": f"""WITH {_ROWS} SELECT target, kind AS container, CAST(CASE WHEN kind = 'epub' THEN 1 ELSE i END AS BIGINT) AS nth, {_PLACE} AS place, {_KIND_OF} AS kind, {_FIELD} AS name, md5(v) AS md5 FROM r WHERE kind NOT IN ('unknown-binary', 'pdf') AND v <> ''
+    "container_records": f"""WITH {_WHOLE_ROWS} SELECT target, kind AS container, CAST(CASE WHEN kind = 'epub' THEN 1 ELSE i END AS BIGINT) AS nth, {_PLACE} AS place, {_KIND_OF} AS kind, {_FIELD} AS name, md5(v) AS md5 FROM r WHERE kind NOT IN ('unknown-binary', 'pdf') AND v <> ''
 UNION ALL SELECT target, 'svg', 1, 'SVG <title>', 'svg text', 'title', md5('t') FROM a WHERE kind = 'svg'
 UNION ALL SELECT target, 'docx', 1, 'docProps/app.xml', 'whole', 'Application', md5('Writer') FROM a WHERE kind = 'docx'
 UNION ALL SELECT target, 'epub', 0, 'a.xhtml', 'page', 'a.xhtml', md5('<html/>') FROM a WHERE kind = 'epub'""",
