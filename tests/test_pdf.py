@@ -25,3 +25,13 @@ def test_all_documents_have_findings(spark):
     want = {r.doc_id for r in seeds.table(spark, folder, "documents").select("doc_id").collect()}
     found = markup_queries.pdf_findings(spark, folder).collect()
     assert {r.target for r in found} == want
+
+
+def plan(spark, name):
+    from veritrace.plans import registry
+
+    return registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_lowered_once(spark):
+    assert plan(spark, "ai_marker_hits").count("lower(") <= 2  # documents and pages, or their union

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.expr import cp_name, inside
+from ..functions.expr import cp_name, inside, let, once
 
 OCCURRENCE = ("severity", "confidence", "category", "note")
 
@@ -48,18 +48,6 @@ _ANY = rules.char_class(_SIGNAL, rules.GREEK, rules.CYRILLIC)
 PIECE = 2000
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value worked out once, however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with more columns that later expressions read and do not work out again."""
-    for name, column in columns.items():
-        df = df.select("*", F.explode(F.array(column)).alias(name))
-    return df
-
-
 def _pieces(df: DataFrame, target: str, text: str, pattern: str) -> DataFrame:
     """(target, line, base, before, own, after): lines, from 1, in which the pattern occurs, in pieces that hold it.
 
@@ -80,7 +68,7 @@ def _pieces(df: DataFrame, target: str, text: str, pattern: str) -> DataFrame:
     found = lines.select("target", (F.col("line") + 1).alias("line"), F.explode(F.array(cut)).alias("xs"))
     sizes = F.transform("xs", F.char_length)
     bases = F.slice(F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), 1, F.size("xs"))
-    found = found.select("target", "line", F.explode(F.arrays_zip(bases.alias("base"), _let(F.col("xs"), parts).alias("p"))).alias("x"))
+    found = found.select("target", "line", F.explode(F.arrays_zip(bases.alias("base"), let(F.col("xs"), parts).alias("p"))).alias("x"))
     found = found.select("target", "line", F.col("x.base").alias("base"), F.coalesce("x.p.before", F.lit("")).alias("before"), F.col("x.p.own").alias("own"), F.coalesce("x.p.after", F.lit("")).alias("after"))
     return found.filter(F.col("own").rlike(pattern))
 
@@ -172,7 +160,7 @@ def _with_words(pieces: DataFrame) -> DataFrame:
         return F.aggregate(F.sequence(F.lit(1), F.size(x["w"])), F.struct(F.lit(0).alias("at"), F.array().cast(none).alias("found")), step, lambda acc: acc["found"])
 
     both = F.struct(F.regexp_extract_all("own", F.lit(f"({_MIXED_WORD})"), F.lit(1)).alias("w"), F.split(F.col("own"), _MIXED_WORD).alias("g"))
-    return pieces.withColumn("words", F.when(F.col("own").rlike(_MIXED), _let(both, placed)).otherwise(F.array().cast(none)))
+    return pieces.withColumn("words", F.when(F.col("own").rlike(_MIXED), let(both, placed)).otherwise(F.array().cast(none)))
 
 
 def _details(word: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.expr import explode_findings, markers, markers_of, metadata_value, xmp_findings
+from ..functions.expr import explode_findings, markers, metadata_value, with_markers, xmp_findings
 from ..operators import c2pa, markup, routing
 from . import seeds
 from .text_queries import _note, _quote
@@ -24,7 +24,7 @@ def _listed(value: str) -> str:
 
 def ai_marker_hits(spark, sf_dir):
     texts = seeds.documents(spark, sf_dir).select(F.lit("documents").alias("source"), "target", "text").unionByName(seeds.pages(spark, sf_dir).select(F.lit("pages").alias("source"), "target", F.col("html").alias("text")))
-    return texts.select("source", "target", F.posexplode(markers_of(F.col("text"))).alias("nth", "marker"))
+    return with_markers(texts, "found", F.col("text")).select("source", "target", F.posexplode("found").alias("nth", "marker"))
 
 
 VALUES_SQL = "vals AS (SELECT doc_id AS target, CASE doc_id % 4 WHEN 0 THEN 'made with ChatGPT ' || coalesce(text, '') WHEN 1 THEN '   ' WHEN 2 THEN coalesce(text, '') ELSE 'Stable Diffusion llms.txt' END AS v FROM documents)"
