@@ -35,3 +35,7 @@ def plan(spark, name):
 
 def test_texts_are_lowered_once(spark):
     assert plan(spark, "ai_marker_hits").count("lower(") <= 2  # documents and pages, or their union
+
+
+def test_fields_are_looked_for_once(spark):
+    assert plan(spark, "pdf_findings").count("|CreationDate)") <= 2  # names and values

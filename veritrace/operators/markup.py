@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.expr import explode_findings, finding, marker_note, markers, metadata_value, none, strip, xmp_findings
+from ..functions.expr import explode_findings, finding, let, marker_note, markers, metadata_value, none, strip, xmp_findings
 
 # The patterns by which tags, attributes and blocks are told.
 ATTRIBUTE = r"""([\p{L}\p{N}_:-]+)\s*=\s*["']([^"']*)["']"""
@@ -144,28 +144,41 @@ def pdf_packet(latin: Column) -> Column:
 
 def pdf_uncompressed(latin: Column) -> Column:
     """The file without its compressed streams: from stream to endstream, where FlateDecode is told in the 1,024 bytes before."""
-    parts = F.split(latin, r"(?<!end)(?<![0-9A-Za-z_])(?=stream\r?\n)")
+    parts = F.split(latin, r"(?=stream\r?\n)(?<!end)(?<![0-9A-Za-z_])")
 
-    def kept(part: Column, i: Column) -> Column:
-        end = F.instr(part, "endstream")
-        before = F.substring(F.element_at(parts, F.greatest(i, F.lit(1))), -1024, 1024)
-        packed = (i > 0) & (end > 0) & F.contains(before, F.lit("/FlateDecode"))
-        return F.when(packed, F.concat(F.repeat(F.lit(" "), F.lit(1)), F.substring(part, end + 9, F.char_length(part)))).otherwise(part)
+    def without(parts: Column) -> Column:
+        def kept(part: Column, i: Column) -> Column:
+            end = F.instr(part, "endstream")
+            before = F.substring(F.element_at(parts, F.greatest(i, F.lit(1))), -1024, 1024)
+            packed = (i > 0) & (end > 0) & F.contains(before, F.lit("/FlateDecode"))
+            return F.when(packed, F.concat(F.repeat(F.lit(" "), F.lit(1)), F.substring(part, end + 9, F.char_length(part)))).otherwise(part)
 
-    return F.array_join(F.transform(parts, kept), "")
+        return F.transform(parts, kept)
+
+    return F.array_join(let(parts, without), "")
 
 
 def pdf_findings(latin: Column) -> Column:
-    """Findings of a PDF's fields, XMP packet and markers outside compressed streams."""
-    fields = F.array_compact(F.transform(pdf_fields(latin), lambda x: F.when(x["v"] != "", metadata_value(x["k"], x["v"], F.concat(F.lit("PDF /Info "), x["k"]))).otherwise(none())))
-    packet = pdf_packet(latin)
-    first = F.concat(fields, F.when(packet != "", xmp_findings(packet, F.lit("PDF XMP metadata stream"))).otherwise(F.array().cast(fields_type())))
-    found = markers(pdf_uncompressed(latin))
-    told = F.exists(first, lambda f: F.forall(found, lambda m: F.contains(F.lower(f["evidence"]), m)))
-    extra = F.when((F.size(found) > 0) & ~told, F.array(finding("medium", "confirmed", "ai-metadata", "PDF outside compressed streams", "AI marker bytes", None, marker_note(found)))).otherwise(F.array().cast(fields_type()))
-    every = F.concat(first, extra)
-    edited = (F.regexp_count(latin, F.lit("%%EOF")) > 1) & (F.size(found) > 0)
-    return F.transform(every, lambda f, i: F.when(edited & (i == F.size(every) - 1), f.withField("note", F.concat(f["note"], F.lit(". " + rules.NOTES["incremental"])))).otherwise(f))
+    """Findings of a PDF's fields, XMP packet and markers outside compressed streams; each is worked out once."""
+    empty = F.array().cast(fields_type())
+
+    def field(x: Column) -> Column:
+        return let(markers(x["v"]), lambda m: metadata_value(x["k"], x["v"], F.concat(F.lit("PDF /Info "), x["k"]), found=m))
+
+    fields = F.array_compact(F.transform(pdf_fields(latin), lambda x: F.when(x["v"] != "", field(x)).otherwise(none())))
+    packets = let(pdf_packet(latin), lambda p: F.when(p != "", xmp_findings(p, F.lit("PDF XMP metadata stream"))).otherwise(empty))
+
+    def every(s: Column) -> Column:
+        found = s["found"]
+        told = F.exists(s["first"], lambda f: F.forall(found, lambda m: F.contains(F.lower(f["evidence"]), m)))
+        extra = F.when((F.size(found) > 0) & ~told, F.array(finding("medium", "confirmed", "ai-metadata", "PDF outside compressed streams", "AI marker bytes", None, marker_note(found)))).otherwise(empty)
+        edited = (F.size(found) > 0) & (F.regexp_count(latin, F.lit("%%EOF")) > 1)
+        return F.struct(F.concat(s["first"], extra).alias("all"), edited.alias("edited"))
+
+    def noted(s: Column) -> Column:
+        return F.transform(s["all"], lambda f, i: F.when(s["edited"] & (i == F.size(s["all"]) - 1), f.withField("note", F.concat(f["note"], F.lit(". " + rules.NOTES["incremental"])))).otherwise(f))
+
+    return let(let(F.struct(F.concat(fields, packets).alias("first"), markers(pdf_uncompressed(latin)).alias("found")), every), noted)
 
 
 def fields_type() -> str:
