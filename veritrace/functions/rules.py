@@ -116,3 +116,5 @@ def char_class(*groups) -> str:
 SIGNALS = char_class(ZERO_WIDTH_SPACE, JOINERS, BOM, SOFT_HYPHEN, FORMAT_CONTROLS, BIDI_CONTROLS, TAGS, PRIVATE_USE, SPACES)
 HIDDEN = char_class(((0x00, 0x1F),), FORMAT_CATEGORY, PRIVATE_USE, TAGS)
 WORD_CLASS = char_class(LATIN, GREEK, CYRILLIC)
+#: A few wide ranges that hold all of SIGNALS, Greek and Cyrillic, told faster than these.
+SOME = "[\\xA0\\xAD\\x{370}-\\x{10FFFF}]"

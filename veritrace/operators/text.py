@@ -43,7 +43,7 @@ _FOREIGN, _LATIN = rules.char_class(rules.GREEK, rules.CYRILLIC), rules.char_cla
 _MIXED = f"{_LATIN}{_FOREIGN}|{_FOREIGN}{_LATIN}"
 _MIXED_WORD = f"(?<!{rules.WORD_CLASS}){rules.WORD_CLASS}*(?:{_MIXED}){rules.WORD_CLASS}*"
 #: A character without which a line has neither a signal nor a mixed word.
-_ANY = rules.char_class(_SIGNAL, rules.GREEK, rules.CYRILLIC)
+_ANY = f"(?={rules.SOME})" + rules.char_class(_SIGNAL, rules.GREEK, rules.CYRILLIC)
 #: Characters of a piece, but for the rest of its last word.
 PIECE = 2000
 
