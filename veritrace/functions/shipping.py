@@ -10,6 +10,16 @@ from pyspark.sql import SparkSession
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
+#: Files that a worker holds at once.
+BATCH_ROWS = 200
+
+
+def ship_files(spark: SparkSession) -> None:
+    """ship(), for functions of whole files: a batch holds BATCH_ROWS of them at most, or as few as the session asks for."""
+    ship(spark)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def ship(spark: SparkSession) -> None:

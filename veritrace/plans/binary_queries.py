@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.shipping import ship
+from ..functions.shipping import ship_files
 from ..functions.staging import staged
 from ..operators import containers, strip
 from . import samples, seeds
@@ -20,7 +20,7 @@ KINDS = tuple(samples.ONE_FIELD)
 
 def assets(spark, sf_dir):
     """(target, content): white space and control characters of a text are single blanks, as XML holds no others."""
-    ship(spark)
+    ship_files(spark)
     v = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x20\\x7f-\\xa0]+", " "), "^\\p{Zs}+|\\p{Zs}+$", "")
     v = F.concat(F.when(v == "", "x").otherwise(v), F.when(F.pmod("doc_id", F.lit(3)) == 0, " by ChatGPT").otherwise(""))
 
